@@ -4,25 +4,27 @@ from pyspark.sql import Column, functions as F
 
 from newsflow.functions.text import let
 
-WORD_SEPARATOR = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD_SEPARATOR), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
-def shingles(tokens: Column, length: int) -> Column:
-    """Runs of ``length`` consecutive words; a shorter text is one run."""
+def shingle_hashes(tokens: Column, length: int) -> Column:
+    """64-bit hash of every run of ``length`` words; a shorter text is one run."""
+    hashed = F.transform(tokens, lambda w: F.xxhash64(w))
     if length == 1:
-        return tokens
+        return hashed
 
-    def runs(t):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (length - 1), F.lit(1)))
-        return F.when(F.size(t) == 0, t).otherwise(
-            F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(length)), " "))
+    def runs(h):
+        # Positions behind the end give null, which a hash skips.
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - length, F.lit(0)))
+        return F.when(F.size(h) == 0, h).otherwise(
+            F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(length)]))
         )
 
-    return let(tokens, runs)
+    return let(hashed, runs)
 
 
 def bucket(term: Column, dim: int) -> Column:
@@ -53,29 +55,33 @@ def _run_lengths(values: Column) -> Column:
 def term_vector(text: Column, ngram: int = 1, dim: int | None = None) -> Column:
     """Unit vector of log-damped term counts, sparse, sorted by term.
 
-    ``dim`` fixes the number of buckets. Without it a term is its 64-bit hash,
-    which in practice keeps every term apart; together with ``ngram=3`` that
-    makes shared terms rare between unrelated texts. A text without any word
-    has no vector (null).
+    Without ``dim`` a term is the 64-bit hash of ``ngram`` consecutive words,
+    which in practice keeps every term apart; with ``ngram=3`` unrelated texts
+    then share few terms. ``dim`` hashes single words to that many buckets. A
+    text without any word has no vector (null).
     """
-    terms = shingles(words(text), ngram)
-    hashed = F.transform(terms, (lambda t: bucket(t, dim)) if dim else (lambda t: F.xxhash64(t)))
+    if dim is None:
+        terms = shingle_hashes(words(text), ngram)
+    elif ngram == 1:
+        terms = F.transform(words(text), lambda w: bucket(w, dim))
+    else:
+        raise ValueError("a fixed dimension goes with single words")
+
+    def damped(counts):
+        return F.transform(
+            counts, lambda c: F.struct(c["term"].alias("term"), F.log1p(c["count"].cast("double")).alias("weight"))
+        )
 
-    def unit(counts):
-        damped = F.transform(counts, lambda c: F.log1p(c["count"].cast("double")))
-        squares = F.aggregate(damped, F.lit(0.0), lambda acc, w: acc + w * w)
+    def unit(terms):
+        norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"]))
         return let(
-            F.sqrt(squares),
-            lambda norm: F.transform(
-                counts,
-                lambda c: F.struct(
-                    c["term"].alias("term"),
-                    (F.log1p(c["count"].cast("double")) / norm).alias("weight"),
-                ),
+            norm,
+            lambda n: F.transform(
+                terms, lambda t: F.struct(t["term"].alias("term"), (t["weight"] / n).alias("weight"))
             ),
         )
 
-    return let(_run_lengths(hashed), lambda counts: F.when(counts.isNotNull(), unit(counts)))
+    return let(damped(_run_lengths(terms)), lambda t: F.when(t.isNotNull(), unit(t)))
 
 
 def sparse_dot(a: Column, b: Column) -> Column:

@@ -115,8 +115,10 @@ def _compare_in_tiles(queries: DataFrame, stored: DataFrame, threshold: float, t
     tiles = F.broadcast(sizes(queries, "q_tiles").join(sizes(stored, "c_tiles"), "cell"))
 
     def spread(frame, own, other):
+        # New aliases, because both sides may come from one table.
         return (
-            frame.join(tiles, "cell")
+            frame.select([F.col(name).alias(name) for name in frame.columns])
+            .join(tiles, "cell")
             .withColumn(f"{own}_tile", F.pmod(F.xxhash64("seq"), F.col(f"{own}_tiles")))
             .withColumn(f"{other}_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_tiles") - 1)))
             .drop("q_tiles", "c_tiles")

@@ -33,8 +33,12 @@ SLACK = 1e-9
 ROWS_PER_PIECE = 50_000
 
 
-def _rows(new, corpus, vector):
-    """(seq, is_new, vec) of all rows that have a vector."""
+def _rows(new, corpus, vector, staging):
+    """(seq, is_new, vec, h1, h2) of all rows that have a vector.
+
+    Staged before the filter: a filter on a computed vector would be pushed
+    below its projection and compute it twice.
+    """
 
     def side(frame, is_new):
         return frame.select(F.col("seq").cast("bigint").alias("seq"), F.lit(is_new).alias("is_new"), F.col(vector).alias("vec"))
@@ -42,6 +46,8 @@ def _rows(new, corpus, vector):
     rows = side(new, True)
     if corpus is not None:
         rows = rows.unionByName(side(corpus, False))
+    rows = rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.col("vec")))
+    rows = staging.table(rows, "rows")
     if _is_sparse(new, vector):
         return rows.filter(F.size("vec") > 0)
     unusable = F.exists("vec", lambda x: x.isNull() | F.isnan(x))
@@ -49,46 +55,35 @@ def _rows(new, corpus, vector):
 
 
 def _collapse(rows: DataFrame, staging: Staging, first_match: bool):
-    """Earliest row of every distinct vector, and the row each row is a copy of.
+    """Groups of equal vectors, and the earliest row of each group.
 
     A vector is recognised by two 64-bit hashes with different seeds. ``query``
     marks the vectors whose match is asked for.
     """
-    hashed = staging.table(
-        rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.col("vec"))), "rows"
-    )
-    groups = hashed.groupBy("h1", "h2").agg(
-        F.min("seq").alias("rep"),
-        F.min(F.struct("seq", "is_new"))["is_new"].alias("rep_is_new"),
-        F.max("is_new").alias("any_new"),
-        F.count(F.lit(1)).alias("rows"),
+    groups = staging.table(
+        rows.groupBy("h1", "h2").agg(
+            F.min("seq").alias("rep"),
+            F.min(F.struct("seq", "is_new"))["is_new"].alias("rep_is_new"),
+            F.max("is_new").alias("any_new"),
+            F.count(F.lit(1)).alias("rows"),
+        ),
+        "groups",
     )
-    groups = staging.table(groups, "groups")
-    copies = lookup(
-        hashed.filter("is_new").select("seq", "h1", "h2"),
-        groups.select("h1", "h2", "rep"),
-        ["h1", "h2"],
-        spread_by="seq",
-        how="inner",
-        counts=groups,
-    ).select("seq", "rep")
     query = F.col("any_new") if first_match else F.col("rep_is_new")
     wanted = groups.select(F.col("rep").alias("seq"), query.alias("query"))
     # seq is unique on both sides, so this join has no heavy key.
-    vectors = hashed.select("seq", "vec").join(wanted, "seq")
-    return staging.table(copies, "copies"), staging.table(vectors, "vectors")
+    return groups, staging.table(rows.select("seq", "vec").join(wanted, "seq"), "vectors")
 
 
-def _rare_first_lists(vectors: DataFrame, similarity: float, staging: Staging) -> DataFrame:
-    """Inverted lists of the terms a match must share: (term, seq, query, rest, n, first_seq).
+def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> DataFrame:
+    """Inverted lists of the terms a match must share: (term, seq, query, rest, rows, first).
 
     Terms are ordered by how many rows hold them, rarest first. ``rest`` is the
     squared norm of a row's vector from that term on. If two rows reach the
-    similarity s, then at their first common term rest * rest >= s * s, because
-    all of their dot product comes from there on. So a term whose ``rest`` is
-    below s * s, even against the largest ``rest`` in its list, needs no entry.
+    similarity s, then at their first common term rest * rest >= s * s (``needed``),
+    because all of their dot product comes from there on. So a term whose
+    ``rest`` is below s * s, even against the largest ``rest`` in its list, needs no entry.
     """
-    needed = similarity * similarity - SLACK
     terms = vectors.select("seq", "query", F.explode("vec").alias("t")).select(
         "seq", "query", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")
     )
@@ -113,7 +108,7 @@ def _rare_first_lists(vectors: DataFrame, similarity: float, staging: Staging) -
     lists = prefix.groupBy("term").agg(
         F.count(F.lit(1)).alias("rows"),
         F.max("rest").alias("top"),
-        F.min("seq").alias("first_seq"),
+        F.min(F.struct("seq", "rest")).alias("first"),
         F.max("query").alias("asked"),
     ).filter((F.col("rows") > 1) & F.col("asked"))
     lists = staging.table(lists, "lists")
@@ -142,12 +137,16 @@ def sparse_matches(
 ) -> DataFrame:
     """(seq, match_seq) for distinct sparse unit vectors (seq, query, vec)."""
     similarity = 1.0 - threshold
-    live = _rare_first_lists(vectors, similarity, staging)
+    needed = similarity * similarity - SLACK
+    live = _rare_first_lists(vectors, needed, staging)
     asking = live.filter("query")
 
     # Step 2: the earliest row of each list.
     leaders = staging.table(
-        asking.filter("first_seq < seq").select("seq", F.col("first_seq").alias("cand")).distinct(), "leaders"
+        asking.filter((F.col("first.seq") < F.col("seq")) & (F.col("rest") * F.col("first.rest") >= needed))
+        .select("seq", F.col("first.seq").alias("cand"))
+        .distinct(),
+        "leaders",
     )
     settled = staging.table(_confirm(leaders, vectors, threshold), "settled")
 
@@ -158,25 +157,28 @@ def sparse_matches(
     else:
         open_rows = asking.join(settled, "seq", "left_anti").withColumn("match_seq", F.lit(None).cast("bigint"))
     q = open_rows.select(
-        "term", "seq", "match_seq", F.col("rest").alias("q_rest"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")
+        "term", "seq", "match_seq", F.col("rest").alias("q_rest"), F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece")
     )
-    c = live.filter(F.col("seq") != F.col("first_seq")).select(
+    c = live.filter(F.col("seq") != F.col("first.seq")).select(
         "term", F.col("seq").alias("cand"), F.col("rest").alias("c_rest"), F.pmod(F.xxhash64("seq"), pieces).alias("piece")
     )
-    possible = (
-        (F.col("cand") < F.coalesce("match_seq", "seq"))
-        & (F.col("q_rest") * F.col("c_rest") >= similarity * similarity - SLACK)
-    )
+    possible = (F.col("cand") < F.coalesce("match_seq", "seq")) & (F.col("q_rest") * F.col("c_rest") >= needed)
     pairs = q.join(c, ["term", "piece"]).filter(possible).select("seq", "cand").distinct()
     pairs = staging.table(pairs, "pairs")
     found = _confirm(pairs, vectors, threshold)
     return settled.unionByName(found).groupBy("seq").agg(F.min("match_seq").alias("match_seq"))
 
 
-def _flag(new: DataFrame, copies: DataFrame, matches: DataFrame, first_match: bool) -> DataFrame:
+def _flag(new: DataFrame, rows: DataFrame, groups: DataFrame, matches: DataFrame, first_match: bool) -> DataFrame:
     """Carry the matches of distinct vectors back to every row of ``new``."""
+    found = groups.join(matches.withColumnRenamed("seq", "rep"), "rep", "left")
     earliest = lookup(
-        copies, matches.withColumnRenamed("seq", "rep"), "rep", spread_by="seq", how="left"
+        rows.filter("is_new").select("seq", "h1", "h2"),
+        found.select("h1", "h2", "rep", "match_seq"),
+        ["h1", "h2"],
+        spread_by="seq",
+        how="inner",
+        counts=groups,
     ).select(
         F.col("seq").alias("_seq"),
         F.coalesce("match_seq", F.when(F.col("seq") > F.col("rep"), F.col("rep"))).alias("match_seq"),
@@ -207,12 +209,13 @@ def flag_redundant(
     if not 0 < threshold < 1 and _is_sparse(new, vector) or not 0 < threshold <= 2:
         raise ValueError("threshold must be above 0, and below 1 for sparse vectors")
     staging = staging_for(new, staging)
-    copies, vectors = _collapse(_rows(new, corpus, vector), staging, first_match)
+    rows = _rows(new, corpus, vector, staging)
+    groups, vectors = _collapse(rows, staging, first_match)
     if _is_sparse(new, vector):
         matches = sparse_matches(vectors, threshold, first_match, staging)
     else:
         matches = dense_matches(vectors, threshold, first_match, staging)
-    return _flag(new, copies, matches, first_match)
+    return _flag(new, rows, groups, matches, first_match)
 
 
 def flag_redundant_approx(
@@ -232,9 +235,10 @@ def flag_redundant_approx(
     ``bits`` compare less.
     """
     staging = staging_for(new, staging)
-    copies, vectors = _collapse(_rows(new, corpus, vector), staging, False)
+    rows = _rows(new, corpus, vector, staging)
+    groups, vectors = _collapse(rows, staging, False)
     matches = approximate_matches(vectors, threshold, tables, bits, seed, staging)
-    return _flag(new, copies, matches, False)
+    return _flag(new, rows, groups, matches, False)
 
 
 def match_report(flagged: DataFrame, stored: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def lookup(
     big: DataFrame,
     unique: DataFrame,
     keys: str | list[str],
-    spread_by: str,
+    spread_by: str | list[str],
     how: str = "left",
     counts: DataFrame | None = None,
     rows_per_salt: int | None = None,
@@ -36,6 +36,7 @@ def lookup(
     per salt. ``counts`` (keys, rows) saves counting ``big`` again.
     """
     keys = [keys] if isinstance(keys, str) else keys
+    spread = F.xxhash64(*([spread_by] if isinstance(spread_by, str) else spread_by))
     if counts is None:
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     present = F.lit(True)
@@ -44,13 +45,13 @@ def lookup(
     heavy = F.broadcast(heavy_keys(counts.filter(present), keys, rows_per_salt or ROWS_PER_SALT))
 
     salted = big.join(heavy, keys, "left").withColumn(
-        "_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(spread_by), F.col("_salts"))).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_salts") > 1, F.pmod(spread, F.col("_salts"))).otherwise(F.lit(0))
     )
     if how == "left":
         # Null keys match nothing; spreading them keeps them out of one task.
-        salted = salted.withColumn("_salt", F.when(present, F.col("_salt")).otherwise(F.xxhash64(spread_by)))
+        salted = salted.withColumn("_salt", F.when(present, F.col("_salt")).otherwise(spread))
     repeated = unique.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).cast("bigint")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.coalesce("_salts", F.lit(1)) - 1).cast("bigint")))
     )
     salted = salted.withColumn("_salt", F.col("_salt").cast("bigint"))
     return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
