@@ -13,6 +13,7 @@ from newsflow.functions.entities import (
     link_mentions,
 )
 from newsflow.functions.lexicon import CRYPTO_ASSETS, Lexicon
+from newsflow.operators.skew import lookup
 from newsflow.schemas import MENTION
 
 
@@ -45,7 +46,8 @@ def link_entities(mentions: DataFrame, dictionary: DataFrame, key: str = "articl
     ).filter(F.col("score") > MIN_CONFIDENCE)
     # One row per article and spelling before the dictionary is joined.
     first = confident.groupBy(key, "surface").agg(F.min(F.struct("pos", "score")).alias("first"))
-    linked = first.join(dictionary, "surface").groupBy(key, "asset_id").agg(
+    known = lookup(first, dictionary, "surface", spread_by=key, how="inner")
+    linked = known.groupBy(key, "asset_id").agg(
         F.min(F.struct("first.pos", "surface", "first.score")).alias("m")
     )
     # At most one entry per asset of the dictionary.
