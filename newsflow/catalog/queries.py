@@ -264,14 +264,14 @@ def novelty_match_titles(spark, folder):
 
 @query
 def novelty_stored_corpus(spark, folder):
-    """conversations as the new batch, documents as the stored table."""
-    stored = _document_vectors(spark, folder).select("seq", "embedding")
-    turns = dense_ids(
-        read_table(spark, folder, "conversations"), ["conv_id", "turn", "role", "text"], start=10**12, name="seq"
+    """Labelled documents as the stored table, the others as the new batch."""
+    rows = _document_vectors(spark, folder).select("doc_id", "embedding").join(
+        read_table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left"
     )
-    turns = turns.withColumn("embedding", three_word_vector(F.col("text")))
-    flagged = novelty.flag_redundant(turns, stored, TEXT_DISTANCE)
-    return flagged.select("conv_id", "turn", "is_redundant")
+    rows = Staging(spark).table(rows, "rows")
+    stored = rows.filter("quality is not null").select(F.col("doc_id").alias("seq"), "embedding")
+    new = rows.filter("quality is null").select("doc_id", (F.col("doc_id") + 10**12).alias("seq"), "embedding")
+    return novelty.flag_redundant(new, stored, TEXT_DISTANCE).select("doc_id", "is_redundant")
 
 
 @query

@@ -2,9 +2,12 @@
 
 from pyspark.sql import Column, functions as F
 
+from newsflow.functions.text import let
+
 # Parts of a page that are never article text, tags that end a
 # line, and the character references that are resolved (&amp; last).
 SKIPPED_TAGS = ["script", "style", "head", "nav", "footer", "table"]
+ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*)</article>"
 BLOCK_END = r"(?i)<br[^>]*>|</(?:p|div|h[1-6]|li|ul|ol|section|blockquote|article)>"
 CHARACTER_REFERENCES = [
     ("&nbsp;", " "),
@@ -27,8 +30,7 @@ def main_text(html: Column) -> Column:
     page = F.regexp_replace(html, "(?s)<!--.*?-->", "")
     for tag in SKIPPED_TAGS:
         page = F.regexp_replace(page, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", "")
-    article = F.regexp_extract(page, r"(?is)<article(?:\s[^>]*)?>(.*)</article>", 1)
-    text = F.coalesce(F.nullif(article, F.lit("")), page)
+    text = let(page, lambda p: F.coalesce(F.nullif(F.regexp_extract(p, ARTICLE, 1), F.lit("")), p))
     text = F.regexp_replace(text, BLOCK_END, "\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
     for reference, character in CHARACTER_REFERENCES:

@@ -4,16 +4,16 @@ from pyspark.sql import Column, functions as F
 
 # The characters that count as whitespace, the line ends, and a
 # run of page numbers such as " - 1 - 2" or "* 1 * 2". Two repeats decide where
-# a longer run starts, so the pattern asks for exactly two.
+# a longer run starts. White space before the run is cut off afterwards, which
+# is much cheaper than looking for it at every position.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-PAGE_NUMBER_RUN = (
-    f"(?:[{WHITESPACE}]*[-*\u2022][{WHITESPACE}]*\\p{{Nd}}+(?![\\p{{L}}\\p{{N}}_])){{2}}"
-)
+_PAGE_NUMBER = f"[-*\u2022][{WHITESPACE}]*\\p{{Nd}}+(?![\\p{{L}}\\p{{N}}_])"
+PAGE_NUMBER_RUN = f"{_PAGE_NUMBER}[{WHITESPACE}]*{_PAGE_NUMBER}"
 
 
 def let(value: Column, body) -> Column:
@@ -42,7 +42,10 @@ def split_lines(text: Column) -> Column:
 
 def cut_page_numbers(text: Column) -> Column:
     """Drop the first run of page numbers and everything behind it."""
-    return F.get(F.split(text, PAGE_NUMBER_RUN, 2), 0)
+    return let(
+        F.split(text, PAGE_NUMBER_RUN, 2),
+        lambda parts: F.when(F.size(parts) == 2, F.rtrim(F.get(parts, 0), F.lit(WHITESPACE))).otherwise(F.get(parts, 0)),
+    )
 
 
 def drop_repeated_lines(lines: Column) -> Column:

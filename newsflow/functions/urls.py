@@ -62,15 +62,17 @@ def _rebuild(url: Column) -> Column:
     scheme = F.lower(part(1))
     host = F.lower(part(2))
     path = F.regexp_replace(part(3), "/+$", "")
-    path = F.when(path == "", "/").otherwise(path)
-    needs_slashes = scheme.isin(HOST_SCHEMES) & path.startswith("/")
-    authority = F.when(F.length(host) > 2, host).when(needs_slashes | path.startswith("//"), "//").otherwise("")
     query = encode_query(drop_tracking(query_parameters(part(4))))
+
+    def from_path(path):
+        needs_slashes = scheme.isin(HOST_SCHEMES) & path.startswith("/")
+        authority = F.when(F.length(host) > 2, host).when(needs_slashes | path.startswith("//"), "//").otherwise("")
+        return F.concat(authority, path)
+
     return F.concat(
         F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))),
-        authority,
-        path,
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+        let(F.when(path == "", "/").otherwise(path), from_path),
+        let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))),
     )
 
 

@@ -15,23 +15,38 @@ def historical_keys(history: DataFrame) -> DataFrame:
     return history.select(F.explode(article_keys(F.col("guid"), F.col("url"))).alias("key")).distinct()
 
 
-def _unseen(items: DataFrame, seen_guids: DataFrame, seen_urls: DataFrame, extra: list[str], item_id) -> DataFrame:
+def _keys(items: DataFrame, staging: Staging) -> DataFrame:
+    """Only the ids and keys of the items, computed once."""
+    return staging.table(
+        items.select(*ITEM_ID, guid_key(F.col("guid")).alias("_guid"), url_key(F.col("url")).alias("_url")), "keys"
+    )
+
+
+def _unseen(items: DataFrame, keys: DataFrame, seen_guids: DataFrame, seen_urls: DataFrame, extra: list[str]) -> DataFrame:
     """Items whose guid key and url key are both absent from the seen ones.
 
-    Two equi-joins with tables that are unique per key; an item without keys
-    stays. Items among themselves are not deduplicated.
+    The lookups carry ids and keys only; the items themselves move once, to
+    meet the ids of the new ones. An item without keys stays. Items among
+    themselves are not deduplicated.
     """
-    keyed = items.withColumn("_guid", guid_key(F.col("guid"))).withColumn("_url", url_key(F.col("url")))
+    found = keys
     for key, seen, flag in (("_guid", seen_guids, "_guid_seen"), ("_url", seen_urls, "_url_seen")):
-        keyed = lookup(keyed, seen.withColumn(flag, F.lit(True)), [key, *extra], spread_by=item_id)
-    return keyed.filter("_guid_seen is null and _url_seen is null").select(*items.columns)
+        seen = seen.filter(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
+        counts = keys.groupBy(key, *extra).agg(F.count(F.lit(1)).alias("rows"))
+        found = lookup(found, seen, [key, *extra], spread_by="feed_pos", counts=counts)
+    fresh = found.filter("_guid_seen is null and _url_seen is null").select(*ITEM_ID)
+    return items.join(fresh, ITEM_ID, "left_semi")
 
 
-def find_new(current: DataFrame, history: DataFrame, item_id=ITEM_ID) -> DataFrame:
-    """Items of ``current`` that share neither guid nor url with ``history``."""
-    guids = history.select(guid_key(F.col("guid")).alias("_guid")).filter("_guid is not null").distinct()
-    urls = history.select(url_key(F.col("url")).alias("_url")).filter("_url is not null").distinct()
-    return _unseen(current, guids, urls, [], item_id)
+def find_new(current: DataFrame, history: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """Items of ``current`` that share neither guid nor url with ``history``.
+
+    (snapshot_id, feed_pos) identifies an item.
+    """
+    keys = _keys(current, staging_for(current, staging))
+    guids = history.select(guid_key(F.col("guid")).alias("_guid"))
+    urls = history.select(url_key(F.col("url")).alias("_url"))
+    return _unseen(current, keys, guids, urls, [])
 
 
 def number_snapshots(items: DataFrame, staging: Staging | None = None) -> DataFrame:
@@ -53,10 +68,9 @@ def snapshot_diff(items: DataFrame, staging: Staging | None = None) -> DataFrame
     in one pass: a key of snapshot n is looked up among the keys of n - 1.
     """
     staging = staging_for(items, staging)
-    numbered = staging.table(
-        lookup(items, number_snapshots(items, staging), "snapshot_id", spread_by="feed_pos", how="inner"), "numbered"
+    keys = _keys(items, staging)
+    keys = staging.table(
+        lookup(keys, number_snapshots(keys, staging), "snapshot_id", spread_by="feed_pos", how="inner"), "numbered"
     )
     following = (F.col("snapshot_no") + 1).alias("snapshot_no")
-    guids = numbered.select(guid_key(F.col("guid")).alias("_guid"), following).filter("_guid is not null").distinct()
-    urls = numbered.select(url_key(F.col("url")).alias("_url"), following).filter("_url is not null").distinct()
-    return _unseen(numbered, guids, urls, ["snapshot_no"], ITEM_ID).select(*items.columns)
+    return _unseen(items, keys, keys.select("_guid", following), keys.select("_url", following), ["snapshot_no"])

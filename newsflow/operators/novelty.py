@@ -165,6 +165,8 @@ def sparse_matches(
     possible = (F.col("cand") < F.coalesce("match_seq", "seq")) & (F.col("q_rest") * F.col("c_rest") >= needed)
     pairs = q.join(c, ["term", "piece"]).filter(possible).select("seq", "cand").distinct()
     pairs = staging.table(pairs, "pairs")
+    if pairs.isEmpty():
+        return settled
     found = _confirm(pairs, vectors, threshold)
     return settled.unionByName(found).groupBy("seq").agg(F.min("match_seq").alias("match_seq"))
 

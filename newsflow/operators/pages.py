@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from newsflow.functions.html import main_text
-from newsflow.functions.text import clean_body
+from newsflow.functions.text import clean_body, let
 from newsflow.operators.skew import lookup
 
 # Fixed value: the error of a page without article text.
@@ -25,7 +25,7 @@ def with_scrape_status(joined: DataFrame, scraped_at=None) -> DataFrame:
     The body is computed once, in its own projection; status and error only
     look at it.
     """
-    body = joined.withColumn("full_body", F.nullif(clean_body(main_text(F.col("html"))), F.lit("")))
+    body = joined.withColumn("full_body", let(clean_body(main_text(F.col("html"))), lambda b: F.nullif(b, F.lit(""))))
     found = F.col("full_body").isNotNull()
     return (
         body.withColumn("scraped_at", F.current_timestamp() if scraped_at is None else F.lit(scraped_at).cast("timestamp"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from newsflow.functions.text import strip
 from newsflow.operators.feed import project_items
 from newsflow.schemas import FEED_ITEM, FEED_XML_ITEM, INCOMING_ARTICLE, LANDED_PAGE
 from newsflow.sources.files import exists
@@ -29,8 +30,9 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = FEED_IT
     """Rows of a JSON list. A missing file is empty; bad JSON and a non-list are errors."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    first = F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1)
-    roots = spark.read.option("wholetext", True).text(path).select(first.alias("root")).filter("root <> '['")
+    # Only the first character of each file leaves the scan.
+    first = F.substring(strip(F.col("value")), 1, 1)
+    roots = spark.read.text(path, wholetext=True).select(first.alias("root")).filter("root <> '['")
     if not roots.isEmpty():
         raise ValueError(f"expected a JSON list in {path}")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
