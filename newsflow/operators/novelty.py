@@ -13,7 +13,8 @@ through a cell join; both are exact. The steps they share:
 2. Each row is compared with the *earliest* row of its lists or with a bounded
    set of pivots. In a large group of near copies that settles nearly all
    rows at linear cost.
-3. Only what is left is compared in full, in pieces of bounded size.
+3. Only what is left is compared in full, in pieces of bounded size; sparse
+   rows first with a sample of their lists, so that most settle early.
 """
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -31,37 +32,65 @@ DISTANCE_THRESHOLD = 0.2
 # pair itself is then decided by its real distance.
 SLACK = 1e-9
 ROWS_PER_PIECE = 50_000
+FIRST_ROUND = 64
+ROUND_GROWTH = 16
 
 
 def _rows(new, corpus, vector, staging):
-    """(seq, is_new, vec, h1, h2) of all rows that have a vector.
+    """Two frames (seq, is_new, vec, h1, h2): the new rows and the stored ones, with a vector.
 
-    Staged before the filter: a filter on a computed vector would be pushed
-    below its projection and compute it twice.
+    The new rows are written before the filter: a filter on a computed vector
+    would be pushed below its projection and compute it twice. The stored rows
+    are a table already and are read from there.
     """
+    sparse = _is_sparse(new, vector)
 
     def side(frame, is_new):
-        return frame.select(F.col("seq").cast("bigint").alias("seq"), F.lit(is_new).alias("is_new"), F.col(vector).alias("vec"))
-
-    rows = side(new, True)
-    if corpus is not None:
-        rows = rows.unionByName(side(corpus, False))
-    rows = rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.col("vec")))
-    rows = staging.table(rows, "rows")
-    if _is_sparse(new, vector):
-        return rows.filter(F.size("vec") > 0)
-    unusable = F.exists("vec", lambda x: x.isNull() | F.isnan(x))
-    return rows.filter(~unusable & F.exists("vec", lambda x: x != 0))
+        return frame.select(
+            F.col("seq").cast("bigint").alias("seq"),
+            F.lit(is_new).alias("is_new"),
+            F.col(vector).alias("vec"),
+            F.xxhash64(vector).alias("h1"),
+            F.xxhash64(F.lit(1), F.col(vector)).alias("h2"),
+        )
+
+    def usable(rows):
+        if sparse:
+            return rows.filter(F.size("vec") > 0)
+        unusable = F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+        return rows.filter(~unusable & F.exists("vec", lambda x: x != 0))
+
+    new_rows = usable(staging.table(side(new, True), "new"))
+    return new_rows, None if corpus is None else usable(side(corpus, False))
+
+
+def _sharing_terms(stored: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """Stored sparse vectors cut down to the terms of the new rows.
+
+    All other terms add nothing to a dot product with a new row. A small batch
+    makes the term table small enough for Spark to broadcast it, so of a large
+    stored table only the shared terms are ever shuffled.
+    """
+    asked = new_rows.select(F.explode("vec").alias("t")).select("t.term").distinct()
+    terms = stored.select("seq", "is_new", F.explode("vec").alias("t")).withColumn("term", F.col("t.term"))
+    shared = terms.join(asked, "term", "left_semi")
+    return shared.groupBy("seq", "is_new").agg(F.sort_array(F.collect_list("t")).alias("vec")).select("seq", "vec")
 
 
-def _collapse(rows: DataFrame, staging: Staging, first_match: bool):
+def _collapse(new_rows, stored, sparse: bool, first_match: bool, staging: Staging):
     """Groups of equal vectors, and the earliest row of each group.
 
     A vector is recognised by two 64-bit hashes with different seeds. ``query``
     marks the vectors whose match is asked for.
     """
+    narrow = ["seq", "is_new", "h1", "h2"]
+    hashes = new_rows.select(*narrow)
+    rows = new_rows.select("seq", "vec")
+    if stored is not None:
+        hashes = hashes.unionByName(stored.select(*narrow))
+        rows = rows.unionByName(_sharing_terms(stored, new_rows) if sparse else stored.select("seq", "vec"))
     groups = staging.table(
-        rows.groupBy("h1", "h2").agg(
+        hashes.groupBy("h1", "h2").agg(
             F.min("seq").alias("rep"),
             F.min(F.struct("seq", "is_new"))["is_new"].alias("rep_is_new"),
             F.max("is_new").alias("any_new"),
@@ -72,7 +101,7 @@ def _collapse(rows: DataFrame, staging: Staging, first_match: bool):
     query = F.col("any_new") if first_match else F.col("rep_is_new")
     wanted = groups.select(F.col("rep").alias("seq"), query.alias("query"))
     # seq is unique on both sides, so this join has no heavy key.
-    return groups, staging.table(rows.select("seq", "vec").join(wanted, "seq"), "vectors")
+    return groups, staging.table(rows.join(wanted, "seq"), "vectors")
 
 
 def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> DataFrame:
@@ -132,8 +161,22 @@ def _confirm(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     return near.groupBy("seq").agg(F.min("cand").alias("match_seq"))
 
 
+def _rounds(largest: int, first_round: int):
+    """Ranges [low, high) of list places: the first few, then ever more, then the rest."""
+    low, high = 0, first_round
+    while high < largest:
+        yield low, high
+        low, high = high, high * ROUND_GROWTH
+    yield low, None
+
+
 def sparse_matches(
-    vectors: DataFrame, threshold: float, first_match: bool, staging: Staging, rows_per_piece: int = ROWS_PER_PIECE
+    vectors: DataFrame,
+    threshold: float,
+    first_match: bool,
+    staging: Staging,
+    rows_per_piece: int = ROWS_PER_PIECE,
+    first_round: int = FIRST_ROUND,
 ) -> DataFrame:
     """(seq, match_seq) for distinct sparse unit vectors (seq, query, vec)."""
     similarity = 1.0 - threshold
@@ -141,7 +184,7 @@ def sparse_matches(
     live = _rare_first_lists(vectors, needed, staging)
     asking = live.filter("query")
 
-    # Step 2: the earliest row of each list.
+    # The earliest row of each list.
     leaders = staging.table(
         asking.filter((F.col("first.seq") < F.col("seq")) & (F.col("rest") * F.col("first.rest") >= needed))
         .select("seq", F.col("first.seq").alias("cand"))
@@ -150,32 +193,46 @@ def sparse_matches(
     )
     settled = staging.table(_confirm(leaders, vectors, threshold), "settled")
 
-    # Step 3: the rest of the list, split into pieces when it is long.
-    pieces = F.ceil(F.col("rows") / rows_per_piece)
-    if first_match:
-        open_rows = asking.join(settled, "seq", "left")
-    else:
-        open_rows = asking.join(settled, "seq", "left_anti").withColumn("match_seq", F.lit(None).cast("bigint"))
-    q = open_rows.select(
-        "term", "seq", "match_seq", F.col("rest").alias("q_rest"), F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece")
-    )
-    c = live.filter(F.col("seq") != F.col("first.seq")).select(
-        "term", F.col("seq").alias("cand"), F.col("rest").alias("c_rest"), F.pmod(F.xxhash64("seq"), pieces).alias("piece")
-    )
-    possible = (F.col("cand") < F.coalesce("match_seq", "seq")) & (F.col("q_rest") * F.col("c_rest") >= needed)
-    pairs = q.join(c, ["term", "piece"]).filter(possible).select("seq", "cand").distinct()
-    pairs = staging.table(pairs, "pairs")
-    if pairs.isEmpty():
-        return settled
-    found = _confirm(pairs, vectors, threshold)
-    return settled.unionByName(found).groupBy("seq").agg(F.min("match_seq").alias("match_seq"))
-
-
-def _flag(new: DataFrame, rows: DataFrame, groups: DataFrame, matches: DataFrame, first_match: bool) -> DataFrame:
+    # The other rows of each list in rounds. A row's place in a list is drawn
+    # from a hash, so a round is a fair sample; a row that found its match
+    # takes no part in the next, larger round.
+    place = F.pmod(F.xxhash64(F.lit(2), F.col("seq")), F.lit(1 << 30)) / (1 << 30) * F.col("rows")
+    others = live.filter(F.col("seq") != F.col("first.seq")).withColumn("place", place)
+    largest = live.agg(F.max("rows")).first()[0] or 0
+    for low, high in _rounds(largest, first_round):
+        if first_match:
+            open_rows = asking.join(settled, "seq", "left")
+        else:
+            open_rows = asking.join(settled, "seq", "left_anti").withColumn("match_seq", F.lit(None).cast("bigint"))
+        expected = F.col("rows") if high is None else F.least("rows", F.lit(high))
+        pieces = F.ceil(expected / rows_per_piece)
+        q = open_rows.filter(F.col("rows") > low).select(
+            "term",
+            "seq",
+            "match_seq",
+            F.col("rest").alias("q_rest"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece"),
+        )
+        within = F.col("place") >= low if high is None else (F.col("place") >= low) & (F.col("place") < high)
+        c = others.filter(within).select(
+            "term",
+            F.col("seq").alias("cand"),
+            F.col("rest").alias("c_rest"),
+            F.pmod(F.xxhash64("seq"), pieces).alias("piece"),
+        )
+        possible = (F.col("cand") < F.coalesce("match_seq", "seq")) & (F.col("q_rest") * F.col("c_rest") >= needed)
+        pairs = staging.table(q.join(c, ["term", "piece"]).filter(possible).select("seq", "cand").distinct(), "pairs")
+        if not pairs.isEmpty():
+            both = settled.unionByName(_confirm(pairs, vectors, threshold))
+            settled = staging.table(both.groupBy("seq").agg(F.min("match_seq").alias("match_seq")), "settled")
+    return settled
+
+
+def _flag(new: DataFrame, new_rows: DataFrame, groups: DataFrame, matches: DataFrame, first_match: bool) -> DataFrame:
     """Carry the matches of distinct vectors back to every row of ``new``."""
     found = groups.join(matches.withColumnRenamed("seq", "rep"), "rep", "left")
     earliest = lookup(
-        rows.filter("is_new").select("seq", "h1", "h2"),
+        new_rows.select("seq", "h1", "h2"),
         found.select("h1", "h2", "rep", "match_seq"),
         ["h1", "h2"],
         spread_by="seq",
@@ -211,13 +268,14 @@ def flag_redundant(
     if not 0 < threshold < 1 and _is_sparse(new, vector) or not 0 < threshold <= 2:
         raise ValueError("threshold must be above 0, and below 1 for sparse vectors")
     staging = staging_for(new, staging)
-    rows = _rows(new, corpus, vector, staging)
-    groups, vectors = _collapse(rows, staging, first_match)
-    if _is_sparse(new, vector):
+    sparse = _is_sparse(new, vector)
+    new_rows, stored = _rows(new, corpus, vector, staging)
+    groups, vectors = _collapse(new_rows, stored, sparse, first_match, staging)
+    if sparse:
         matches = sparse_matches(vectors, threshold, first_match, staging)
     else:
         matches = dense_matches(vectors, threshold, first_match, staging)
-    return _flag(new, rows, groups, matches, first_match)
+    return _flag(new, new_rows, groups, matches, first_match)
 
 
 def flag_redundant_approx(
@@ -237,10 +295,10 @@ def flag_redundant_approx(
     ``bits`` compare less.
     """
     staging = staging_for(new, staging)
-    rows = _rows(new, corpus, vector, staging)
-    groups, vectors = _collapse(rows, staging, False)
+    new_rows, stored = _rows(new, corpus, vector, staging)
+    groups, vectors = _collapse(new_rows, stored, False, False, staging)
     matches = approximate_matches(vectors, threshold, tables, bits, seed, staging)
-    return _flag(new, rows, groups, matches, False)
+    return _flag(new, new_rows, groups, matches, False)
 
 
 def match_report(flagged: DataFrame, stored: DataFrame) -> DataFrame:

@@ -5,14 +5,14 @@ from pyspark.sql import DataFrame, functions as F
 
 def run_summary(items: DataFrame, scraped: DataFrame) -> DataFrame:
     """One row: rss_items, new_items, scrape_success, scrape_failed."""
-    total = items.agg(F.count(F.lit(1)).alias("rss_items"))
-    rest = scraped.agg(
-        F.count(F.lit(1)).alias("new_items"),
-        F.count_if(F.col("scrape_status") == "success").alias("scrape_success"),
-        F.count_if(F.col("scrape_status") == "failed").alias("scrape_failed"),
+    status = F.coalesce(F.col("scrape_status"), F.lit("none"))
+    kinds = items.select(F.lit("item").alias("kind")).unionByName(scraped.select(status.alias("kind")))
+    return kinds.agg(
+        F.count_if(F.col("kind") == "item").alias("rss_items"),
+        F.count_if(F.col("kind") != "item").alias("new_items"),
+        F.count_if(F.col("kind") == "success").alias("scrape_success"),
+        F.count_if(F.col("kind") == "failed").alias("scrape_failed"),
     )
-    # One row meets one row.
-    return total.join(rest, F.lit(True))
 
 
 def batch_size(articles: DataFrame) -> DataFrame:

@@ -60,8 +60,8 @@ def make_texts(seed):
 
 @pytest.mark.parametrize("ngram,threshold,stored", [(1, 0.2, 0), (1, 0.5, 60), (3, 0.2, 60), (2, 0.6, 0)])
 def test_sparse_join_equals_brute_force(spark, monkeypatch, ngram, threshold, stored):
-    # Small pieces and salts so that the paths for heavy keys are taken.
-    monkeypatch.setattr(novelty.sparse_matches, "__defaults__", (7,))
+    # Small pieces, rounds and salts so that the paths for heavy keys are taken.
+    monkeypatch.setattr(novelty.sparse_matches, "__defaults__", (7, 4))
     monkeypatch.setattr(skew, "ROWS_PER_SALT", 10)
     rows = spark.createDataFrame(list(enumerate(make_texts(ngram))), "seq long, text string").withColumn(
         "embedding", term_vector(F.col("text"), ngram=ngram)
