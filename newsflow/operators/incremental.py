@@ -43,10 +43,9 @@ def find_new(current: DataFrame, history: DataFrame, staging: Staging | None = N
 
     (snapshot_id, feed_pos) identifies an item.
     """
-    keys = _keys(current, staging_for(current, staging))
-    guids = history.select(guid_key(F.col("guid")).alias("_guid"))
-    urls = history.select(url_key(F.col("url")).alias("_url"))
-    return _unseen(current, keys, guids, urls, [])
+    staging = staging_for(current, staging)
+    old = _keys(history, staging)
+    return _unseen(current, _keys(current, staging), old.select("_guid"), old.select("_url"), [])
 
 
 def number_snapshots(items: DataFrame, staging: Staging | None = None) -> DataFrame:

@@ -31,9 +31,12 @@ def lookup(
 ) -> DataFrame:
     """Join ``big`` with ``unique`` (at most one row per key), splitting heavy keys.
 
-    Rows of a heavy key are spread over salts by a hash of ``spread_by``, so a
-    retried task puts them in the same place; the one matching row is repeated
-    per salt. ``counts`` (keys, rows) saves counting ``big`` again.
+    The heavy keys, at most MAX_HEAVY_KEYS, are found first by a count with
+    map-side combining; ``counts`` (keys, rows) saves counting ``big`` again.
+    Without any, this is a plain equi-join. Rows of a heavy key are spread over
+    salts by a hash of ``spread_by``, so a retried task puts them in the same
+    place; the one matching row is repeated per salt. Null keys match nothing
+    and are spread as well.
     """
     keys = [keys] if isinstance(keys, str) else keys
     spread = F.xxhash64(*([spread_by] if isinstance(spread_by, str) else spread_by))
@@ -42,16 +45,19 @@ def lookup(
     present = F.lit(True)
     for key in keys:
         present = present & F.col(key).isNotNull()
-    heavy = F.broadcast(heavy_keys(counts.filter(present), keys, rows_per_salt or ROWS_PER_SALT))
-
-    salted = big.join(heavy, keys, "left").withColumn(
-        "_salt", F.when(F.col("_salts") > 1, F.pmod(spread, F.col("_salts"))).otherwise(F.lit(0))
-    )
-    if how == "left":
-        # Null keys match nothing; spreading them keeps them out of one task.
-        salted = salted.withColumn("_salt", F.when(present, F.col("_salt")).otherwise(spread))
-    repeated = unique.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.coalesce("_salts", F.lit(1)) - 1).cast("bigint")))
-    )
-    salted = salted.withColumn("_salt", F.col("_salt").cast("bigint"))
-    return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+    found = heavy_keys(counts.filter(present), keys, rows_per_salt or ROWS_PER_SALT)
+    rows = found.collect()
+    if not rows and how == "inner":
+        return big.join(unique, keys, how)
+
+    no_salt = F.lit(0).cast("bigint")
+    if rows:
+        heavy = F.broadcast(big.sparkSession.createDataFrame(rows, found.schema))
+        salt = F.when(F.col("_salts") > 1, F.pmod(spread, F.col("_salts"))).otherwise(no_salt)
+        salted = big.join(heavy, keys, "left").withColumn("_salt", F.when(present, salt).otherwise(spread)).drop("_salts")
+        last = (F.coalesce("_salts", F.lit(1)) - 1).cast("bigint")
+        repeated = unique.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(no_salt, last))).drop("_salts")
+    else:
+        salted = big.withColumn("_salt", F.when(present, no_salt).otherwise(spread))
+        repeated = unique.withColumn("_salt", no_salt)
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -15,12 +15,13 @@ SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode."""
-    folder = spark.conf.get(SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"{SETTING} must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="newsflow-")
-        spark.conf.set(SETTING, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="newsflow-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

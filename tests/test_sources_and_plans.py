@@ -11,7 +11,7 @@ from newsflow.operators import articles as article_ops
 from newsflow.operators import feed, incremental, pages, reports, skew
 from newsflow.operators.entities import dictionary_table, embed_with, link_entities, tag_with
 from newsflow.operators.ids import dense_ids
-from newsflow.operators.staging import SETTING, Staging
+from newsflow.operators.staging import SETTING, Staging, shared_folder
 from newsflow.plans.ingest import ingest
 from newsflow.plans.news import detect_novelty, process_articles
 from newsflow.schemas import DENSE_VECTOR, FEED_ITEM, INCOMING_ARTICLE
@@ -105,6 +105,26 @@ def test_shared_folder_comes_from_the_session(spark):
     assert Staging(spark).root.startswith(spark.conf.get(SETTING).rstrip("/"))
 
 
+class Unset:
+    """A session whose cluster names no shared folder."""
+
+    def __init__(self, master):
+        self.master, self.folder, self.conf, self.sparkContext = master, None, {}, self
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_temporary_folder_only_in_local_mode():
+    local = Unset("local[2]")
+    assert shared_folder(local) == local.folder == shared_folder(local)
+    with pytest.raises(RuntimeError):
+        shared_folder(Unset("yarn"))
+
+
 def test_staging_is_dropped(spark, tmp_path):
     staging = Staging(spark)
     assert staging.table(spark.range(3), "t").count() == 3
