@@ -45,10 +45,12 @@ def link_entities(mentions: DataFrame, dictionary: DataFrame, key: str = "articl
         key, "pos", clean_mention(F.col("word")).alias("surface"), confidence(F.col("score")).alias("score")
     ).filter(F.col("score") > MIN_CONFIDENCE)
     # One row per article and spelling before the dictionary is joined.
-    first = confident.groupBy(key, "surface").agg(F.min(F.struct("pos", "score")).alias("first"))
+    first = confident.groupBy(key, "surface").agg(
+        F.min("pos").alias("pos"), F.min_by("score", "pos").alias("score")
+    )
     known = lookup(first, dictionary, "surface", spread_by=key, how="inner")
     linked = known.groupBy(key, "asset_id").agg(
-        F.min(F.struct("first.pos", "surface", "first.score")).alias("m")
+        F.min(F.struct("pos", "surface", "score")).alias("m")
     )
     # At most one entry per asset of the dictionary.
     return linked.groupBy(key).agg(

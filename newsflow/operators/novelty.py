@@ -92,20 +92,19 @@ def _collapse(new_rows, stored, sparse: bool, first_match: bool, staging: Stagin
     groups = staging.table(
         hashes.groupBy("h1", "h2").agg(
             F.min("seq").alias("rep"),
-            F.min(F.struct("seq", "is_new"))["is_new"].alias("rep_is_new"),
-            F.max("is_new").alias("any_new"),
+            F.min(F.when(F.col("is_new"), F.col("seq"))).alias("first_new"),
             F.count(F.lit(1)).alias("rows"),
         ),
         "groups",
     )
-    query = F.col("any_new") if first_match else F.col("rep_is_new")
+    query = F.col("first_new").isNotNull() if first_match else F.col("first_new").eqNullSafe(F.col("rep"))
     wanted = groups.select(F.col("rep").alias("seq"), query.alias("query"))
     # seq is unique on both sides, so this join has no heavy key.
     return groups, staging.table(rows.join(wanted, "seq"), "vectors")
 
 
 def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> DataFrame:
-    """Inverted lists of the terms a match must share: (term, seq, query, rest, rows, first).
+    """Inverted lists of the terms a match must share: (term, seq, query, rest, rows, first_seq, first_rest).
 
     Terms are ordered by how many rows hold them, rarest first. ``rest`` is the
     squared norm of a row's vector from that term on. If two rows reach the
@@ -137,7 +136,8 @@ def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> Da
     lists = prefix.groupBy("term").agg(
         F.count(F.lit(1)).alias("rows"),
         F.max("rest").alias("top"),
-        F.min(F.struct("seq", "rest")).alias("first"),
+        F.min("seq").alias("first_seq"),
+        F.min_by("rest", "seq").alias("first_rest"),
         F.max("query").alias("asked"),
     ).filter((F.col("rows") > 1) & F.col("asked"))
     lists = staging.table(lists, "lists")
@@ -186,8 +186,8 @@ def sparse_matches(
 
     # The earliest row of each list.
     leaders = staging.table(
-        asking.filter((F.col("first.seq") < F.col("seq")) & (F.col("rest") * F.col("first.rest") >= needed))
-        .select("seq", F.col("first.seq").alias("cand"))
+        asking.filter((F.col("first_seq") < F.col("seq")) & (F.col("rest") * F.col("first_rest") >= needed))
+        .select("seq", F.col("first_seq").alias("cand"))
         .distinct(),
         "leaders",
     )
@@ -197,7 +197,7 @@ def sparse_matches(
     # from a hash, so a round is a fair sample; a row that found its match
     # takes no part in the next, larger round.
     place = F.pmod(F.xxhash64(F.lit(2), F.col("seq")), F.lit(1 << 30)) / (1 << 30) * F.col("rows")
-    others = live.filter(F.col("seq") != F.col("first.seq")).withColumn("place", place)
+    others = live.filter(F.col("seq") != F.col("first_seq")).withColumn("place", place)
     largest = live.agg(F.max("rows")).first()[0] or 0
     for low, high in _rounds(largest, first_round):
         if first_match:

@@ -35,6 +35,8 @@ def detect_novelty(
     all count as earlier.
     """
     staging = staging_for(articles, staging)
+    # Written first, because the sort looks at its input twice.
+    articles = staging.table(articles, "articles")
     numbered = dense_ids(articles, list(order_by), start_id, "id", staging)
     if make_encoder is None:
         embedded = numbered.withColumn("embedding", vector(F.col("text")))
