@@ -20,9 +20,9 @@ def shingle_hashes(tokens: Column, length: int) -> Column:
     def runs(h):
         # Positions behind the end give null, which a hash skips.
         starts = F.sequence(F.lit(0), F.greatest(F.size(h) - length, F.lit(0)))
-        return F.when(F.size(h) == 0, h).otherwise(
-            F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(length)]))
-        )
+        joined = F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(length)]))
+        # Null and empty stay as they are.
+        return F.when(F.size(h) > 0, joined).otherwise(h)
 
     return let(hashed, runs)
 

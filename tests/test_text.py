@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import text
 
-QUIET = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+QUIET = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 PIECES = st.sampled_from(
     list("ab1 -*\t\n\r\x0b\x1c\x85 \xa0•") + ["\r\n", " - 1", " * 22", "x7 ", "\U0001f600", "A\n", " A\n"]
 )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import urls
 
-QUIET = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+QUIET = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 SCHEMES = st.sampled_from(["http", "HTTPS", "ftp", "mailto", "x"])
 WORDS = st.text(alphabet="aZ9._~*-+%20 é", max_size=6)
 NAMES = st.one_of(WORDS, st.sampled_from(["utm_x", "UTM_y", "fbclid", "GCLID", "mc_cid", "mc_eid", "ref"]))
