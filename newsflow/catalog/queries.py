@@ -67,7 +67,7 @@ def batch_size(spark, folder):
 
 @query
 def strip_text(spark, folder):
-    padded = F.concat(F.lit(" \t 　"), F.col("text"), F.lit("\n  \u0085"))
+    padded = F.concat(F.lit("\u00a0\t \u3000"), F.col("text"), F.lit("\n\u2003 \u0085"))
     return read_table(spark, folder, "conversations").select("conv_id", "turn", text.strip(padded).alias("stripped"))
 
 

@@ -10,7 +10,7 @@ SKIPPED_TAGS = ["script", "style", "head", "nav", "footer", "table"]
 ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*)</article>"
 BLOCK_END = r"(?i)<br[^>]*>|</(?:p|div|h[1-6]|li|ul|ol|section|blockquote|article)>"
 CHARACTER_REFERENCES = [
-    ("&nbsp;", " "),
+    ("&nbsp;", "\xa0"),
     ("&copy;", "©"),
     ("&middot;", "·"),
     ("&quot;", '"'),

@@ -63,5 +63,5 @@ def test_main_text(one):
         "<p>one<br/>two&nbsp;<b>three</b></p><table><tr><td>cell</td></tr></table></article><footer>f</footer></body></html>"
     )
     assert one(html.main_text, [page, "<body><p>a</p>b</body>", "", None]) == [
-        "H &lt; 1\none\ntwo three\n", "a\nb", "", None,
+        "H &lt; 1\none\ntwo\xa0three\n", "a\nb", "", None,
     ]
