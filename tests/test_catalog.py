@@ -6,12 +6,12 @@ import duckdb
 import pytest
 from conftest import TESTDATA
 
-import __spark_entry__ as contract
+from newsflow.catalog.oracle import ORACLE
+from newsflow.catalog.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
