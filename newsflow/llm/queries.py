@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsflow.llm import quality_rules
+from newsflow.llm import quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,4 +75,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & {quality_rules.BASE.mask()}) <> 0 AS base_failed,
   (failure_bits & {quality_rules.STRICT.mask()}) = 0 AS kept, failure_bits
 FROM bits""",
+    "op10_substring_dedup": rf"""
+WITH w AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), wins AS (
+  SELECT r, i, hash(w[i:i+19]) AS h, md5(array_to_string(w[i:i+19], ' ')) AS m
+  FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM w)
+), later AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY h, m ORDER BY r, i) AS n FROM wins) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 20)) AS j FROM later
+), words AS (
+  SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM w
+), kept AS (
+  SELECT words.r, count(*) AS n, string_agg(x, ' ' ORDER BY words.j) AS t
+  FROM words ANTI JOIN gone ON words.r = gone.r AND words.j = gone.j GROUP BY words.r
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.r = kept.r""",
 }
