@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsflow.llm import quality_rules, substring_dedup
+from newsflow.llm import mixing, quality_rules, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.into_shards(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "linked")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, info, copies = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    size = mixing.words_in(F.col("text"))
+    return rows.select(
+        "doc_id",
+        size.alias("size"),
+        F.col(f"{info}.source_size").alias("source_size"),
+        F.col(f"{info}.target").alias("target"),
+        (size * F.col(copies)).alias("taken"),
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -32,6 +50,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_sharding": op4_sharding,
+    "op8_mixing": op8_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -75,6 +95,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & {quality_rules.BASE.mask()}) <> 0 AS base_failed,
   (failure_bits & {quality_rules.STRICT.mask()}) = 0 AS kept, failure_bits
 FROM bits""",
+    "op8_mixing": rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || text, '')), 1, 15))::BIGINT AS place
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+  FROM d GROUP BY source
+), l AS (
+  SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
+      - coalesce(sum(2 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM s WINDOW w AS (ORDER BY (2 * source_size)::DOUBLE / weight, source NULLS LAST)
+), t AS (
+  SELECT source, source_size, least((2 * source_size)::DOUBLE, (max(level) OVER ()) * weight) AS target FROM l
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t
+), r AS (
+  SELECT d.*, source_size, target, whole, target - whole * source_size AS budget,
+    sum(size) OVER (PARTITION BY d.source ORDER BY place RANGE UNBOUNDED PRECEDING)::DOUBLE AS upto,
+    sum(size) OVER (PARTITION BY d.source, place)::DOUBLE AS tied
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN budget > 0 AND (upto <= budget
+    OR (upto - tied <= budget AND upto - budget < budget - (upto - tied))) THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM r""",
     "op10_substring_dedup": rf"""
 WITH w AS (
   SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
