@@ -143,7 +143,8 @@ def plan(
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> tuple[DataFrame, str, str]:
     """``docs`` with a struct of its source's plan and the number of copies taken; both names come with it."""
-    decided = plan(docs, doc_id, source, text, **options)
+    # Written first, so that the optimizer sees how small it is and broadcasts it only then.
+    decided = staging_for(docs, options.get("staging")).table(plan(docs, doc_id, source, text, **options), "plan")
     info, copies = free_name(docs.columns, "mix"), free_name(docs.columns, "copies")
     decided = decided.select(F.struct("*").alias(info))
     joined = docs.join(decided, F.col(f"`{source}`").eqNullSafe(F.col(f"`{info}`.source")))
