@@ -1,8 +1,12 @@
 """One query per operator over whole tables, with SQL where SQL can express it."""
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsflow.llm import mixing, quality_rules, sharding, substring_dedup
+from newsflow.llm import mixing, quality_rules, sharding, substring_dedup, token_files
+from newsflow.operators.staging import Staging
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "linked")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Staging(spark).root}/tokens-{uuid.uuid4().hex[:8]}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.summary(token_files.read_tokens(spark, path))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, info, copies = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     size = mixing.words_in(F.col("text"))
@@ -51,6 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_sharding": op4_sharding,
+    "op5_token_files": op5_token_files,
     "op8_mixing": op8_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
