@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsflow.llm import mixing, quality_rules, sharding, substring_dedup, token_files
+from newsflow.llm import decontamination, mixing, quality_rules, sharding, substring_dedup, token_files
 from newsflow.operators.staging import Staging
 
 
@@ -29,6 +29,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "item_id", "start", "size", "similarity")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.into_shards(table(spark, sf_dir, "documents"))
     law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -60,6 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op5_token_files": op5_token_files,
     "op8_mixing": op8_mixing,
@@ -106,6 +112,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & {quality_rules.BASE.mask()}) <> 0 AS base_failed,
   (failure_bits & {quality_rules.STRICT.mask()}) = 0 AS kept, failure_bits
 FROM bits""",
+    "op3_decontamination": rf"""
+WITH d AS (
+  SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark
+), b AS (
+  SELECT item_id, len(w) AS size, least(len(w), 5) AS k, w FROM i WHERE len(w) > 0
+), ig AS (
+  SELECT item_id, size, k, array_to_string(w[p:p+k-1], ' ') AS g, count(*) AS n
+  FROM (SELECT *, unnest(range(1, size - k + 2)) AS p FROM b) GROUP BY ALL
+), dg AS (
+  SELECT doc_id, text, p, k, array_to_string(w[p:p+k-1], ' ') AS g
+  FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM b))
+), anchors AS (
+  SELECT doc_id, text, p, dg.k, item_id, size, n, g FROM dg JOIN ig USING (k, g)
+), starts AS (
+  SELECT DISTINCT doc_id, text, item_id, size, k, p AS s FROM anchors
+), common AS (
+  SELECT doc_id, text, item_id, size, k, s, sum(least(n, times)) AS common
+  FROM (SELECT x.doc_id, x.text, x.item_id, x.size, x.k, s, g, any_value(n) AS n, count(*) AS times
+        FROM starts x JOIN anchors a ON a.doc_id IS NOT DISTINCT FROM x.doc_id AND a.text = x.text
+          AND a.item_id IS NOT DISTINCT FROM x.item_id AND a.p BETWEEN s AND s + x.size - x.k
+        GROUP BY ALL) GROUP BY ALL
+), scored AS (
+  SELECT c.doc_id, c.text, c.item_id, c.s - 1 AS start, c.size,
+    common::DOUBLE / (2 * (c.size - c.k + 1) - greatest(0, s + c.size - 1 - len(w)) - common) AS similarity
+  FROM common c JOIN d ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.text = c.text
+)
+SELECT doc_id, item_id, start::INTEGER AS start, size::INTEGER AS size, similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY similarity DESC, start) AS n
+      FROM scored WHERE similarity >= 0.8) WHERE n = 1""",
     "op8_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
