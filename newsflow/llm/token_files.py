@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from newsflow.operators.ids import ROW_BITS
 from newsflow.operators.shipping import ship_package
 
 END_ID = 1
-# Distinct words a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 500_000
+# Distinct words a worker remembers; beyond that it starts anew. One takes about 45 bytes.
+CACHED_WORDS = 4_000_000
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -61,30 +62,31 @@ class Encoder:
         return cls._loaded[path]
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.lengths = np.zeros(0, np.int64)
+        # Word fingerprints in order, and where each word's ids lie.
+        self.known = np.zeros(0, np.uint64)
         self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.array([len(f) for f in found], np.int64)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.known.update(zip(hashes, range(len(self.lengths), len(self.lengths) + len(found))))
-        self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
-        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.int32)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.starts = np.insert(self.known, at, hashes), np.insert(self.starts, at, starts)
+        self.lengths = np.insert(self.lengths, at, lengths)
 
     def encode_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each word)."""
         hashes, place, name_of = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
             self._clear()
-        keys = hashes.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        if new:
+        new = np.flatnonzero(~np.isin(hashes, self.known, assume_unique=True))
+        if len(new):
             raw, starts, ends = words.raw.tobytes(), words.starts[place[new]], words.ends[place[new]]
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
-        entry = np.array([self.known[key] for key in keys], np.int64)[name_of] if keys else np.zeros(0, np.int64)
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
+        entry = np.searchsorted(self.known, hashes)[name_of]
         lengths = self.lengths[entry]
         total = int(lengths.sum())
         shift = np.repeat(self.starts[entry] - (np.cumsum(lengths) - lengths), lengths)
