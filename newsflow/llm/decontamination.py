@@ -29,6 +29,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # Two sets of similarity 0.8 differ in some 10 of 64 bits; 20 is more than three deviations above.
 RADIUS = 20
+# Item shingles (some 40 bytes each) that may be sent to every executor.
+MOST_BROADCAST = 1_000_000
 BLOCK_WIDTHS = (9, 9, 9, 9, 9, 9, 10)
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -49,25 +51,6 @@ def _text_shingles(text: Column, width: int) -> Column:
     return let(_words(text), lambda words: _shingles(words, width))
 
 
-def _cut(hashes: Column, spots: Column, width: int) -> Column:
-    """The shingles of each wanted window of a text."""
-    return let(
-        F.struct(hashes.alias("hashes"), spots.alias("spots")),
-        lambda both: F.transform(
-            both["spots"],
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["size"].alias("size"),
-                F.slice(both["hashes"], s["start"] + 1, s["size"] - (width - 1)).alias("shingles"),
-            ),
-        ),
-    )
-
-
-def _of_width(spots: Column, width: int) -> Column:
-    return F.filter(spots, lambda s: s["width"] == width)
-
-
 def _near(number: int, value: Column, width: int, most: int) -> Column:
     """A block's value and all values at most ``most`` bits away, with the block's number."""
     masks = F.array(*[F.lit(m).cast("bigint") for m in _variants(width, most)])
@@ -135,40 +118,39 @@ def find(
     keyed = keyed.withColumn("text_key", F.xxhash64("text"))
     if not widths:
         widths = [SHINGLE]
-    wanted = None
+    windows = None
     for width in widths:
         sharing = staging.table(
             items.filter(F.col("width") == width).select("size", F.explode("shingles").alias("h")).groupBy("h").agg(F.collect_set("size").alias("sizes")),
             f"sharing{width}",
         )
-        found = (
-            keyed.select("doc_id", "text_key", _text_shingles(F.col("text"), width).alias("hashes"))
-            .select("doc_id", "text_key", F.posexplode("hashes").alias("start", "h"))
-            .join(sharing, "h")
-            .select("doc_id", "text_key", "start", F.explode("sizes").alias("size"), F.lit(width).alias("width"))
-        )
-        wanted = found if wanted is None else wanted.unionByName(found)
-    spots = staging.table(
-        wanted.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size", "width")).alias("spots")), "spots"
-    )
-    marked = keyed.join(
-        spots.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spots"),
-        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")),
-    )
-    windows = None
-    for width in widths:
-        cut = (
-            marked.select(
-                "doc_id",
-                "text_key",
-                _text_shingles(F.col("text"), width).alias("hashes"),
-                _of_width(F.col("spots"), width).alias("here"),
+        hashed = keyed.select("doc_id", "text_key", _text_shingles(F.col("text"), width).alias("hashes"))
+        cut = F.slice(F.col("hashes"), F.col("start") + 1, F.col("size") - (width - 1)).alias("shingles")
+        if sharing.count() <= MOST_BROADCAST:
+            # The join happens where the text's shingles are, so windows are cut at once.
+            found = (
+                hashed.select("*", F.posexplode("hashes").alias("start", "h"))
+                .join(F.broadcast(sharing), "h")
+                .select("doc_id", "text_key", "hashes", "start", F.explode("sizes").alias("size"))
+                .select("doc_id", "text_key", "start", "size", cut)
             )
-            .filter(F.size("here") > 0)
-            .select("doc_id", "text_key", F.explode(_cut(F.col("hashes"), F.col("here"), width)).alias("w"))
-            .select("doc_id", "text_key", "w.*")
-        )
-        windows = cut if windows is None else windows.unionByName(cut)
+        else:
+            # Too many item shingles for that: positions meet them in a shuffle and go back to the texts.
+            spots = (
+                hashed.select("doc_id", "text_key", F.posexplode("hashes").alias("start", "h"))
+                .join(sharing, "h")
+                .select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "start", F.explode("sizes").alias("size"))
+                .groupBy("d", "k")
+                .agg(F.collect_set(F.struct("start", "size")).alias("spots"))
+            )
+            same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+            found = (
+                hashed.join(spots, same)
+                .select("doc_id", "text_key", "hashes", F.explode("spots").alias("spot"))
+                .select("doc_id", "text_key", "hashes", "spot.*")
+                .select("doc_id", "text_key", "start", "size", cut)
+            )
+        windows = found if windows is None else windows.unionByName(found)
     windows = staging.table(
         windows.dropDuplicates(["doc_id", "text_key", "start", "size"]).withColumn("print", simhash(F.col("shingles"))), "windows"
     )
