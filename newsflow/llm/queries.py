@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsflow.llm import decontamination, mixing, quality_rules, sharding, substring_dedup, token_files
+from newsflow.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, substring_dedup, token_files
 from newsflow.operators.staging import Staging
 
 
@@ -29,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "item_id", "start", "size", "similarity")
@@ -65,6 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op5_token_files": op5_token_files,
@@ -112,6 +117,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & {quality_rules.BASE.mask()}) <> 0 AS base_failed,
   (failure_bits & {quality_rules.STRICT.mask()}) = 0 AS kept, failure_bits
 FROM bits""",
+    "op2_jaccard_join": rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), g AS (
+  SELECT DISTINCT r, hash(s) AS g
+  FROM (SELECT r, CASE WHEN len(w) < 3 THEN w ELSE w[p:p+2] END AS s
+        FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 1))) AS p FROM d WHERE len(w) > 0))
+), n AS (
+  SELECT r, count(*) AS n FROM g GROUP BY r
+), links AS (
+  SELECT a, b FROM (
+    SELECT x.r AS a, y.r AS b, count(*) AS common FROM g x JOIN g y ON x.g = y.g AND x.r < y.r GROUP BY ALL
+  ) JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * common >= 90 * (na.n + nb.n - common)
+), reach AS (
+  SELECT r, r AS c FROM d
+  UNION
+  SELECT e.b, reach.c FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON reach.r = e.a
+), least_of AS (
+  SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.c GROUP BY reach.r
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN least_of ON least_of.r = d.r""",
     "op3_decontamination": rf"""
 WITH d AS (
   SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE text IS NOT NULL
