@@ -402,3 +402,19 @@ def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
         b, (F.col("b.tree") == above["tree"]) & (F.col("b.branch") == F.col("qb")) & (F.col("a.leaf") + 1 < F.col("b.leaf"))
     )
     return below.filter(open_("a", "b") & _may_link("a", "b", percent)).select(F.col("a.leaf").alias("x"), F.col("b.leaf").alias("y"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", staging: Staging | None = None) -> DataFrame:
+    """``docs`` with one row of each component (the smallest id), and every row without words.
+
+    Columns stay as they are. Rows that share id and set are one document; of
+    rows that share a component's smallest id one stays.
+    """
+    staging = staging_for(docs, staging)
+    found = join(docs, width, percent, doc_id, text, staging).filter("n_shingles > 0")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_first")).distinct()
+    has_words = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    written, blank = docs.filter(has_words), docs.filter(~has_words)
+    kept = written.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col("_first")), "left_semi")
+    # Only rows that share an id can still be copies of each other.
+    return kept.dropDuplicates([doc_id]).unionByName(blank)

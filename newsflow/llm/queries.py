@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsflow.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, substring_dedup, token_files
+from newsflow.llm import decontamination, importance, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, substring_dedup, token_files
 from newsflow.operators.staging import Staging
 
 
@@ -50,6 +50,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summary(token_files.read_tokens(spark, path))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    trees = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.predict(docs, trees, ["doc_id", "held_out"])
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, info, copies = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     size = mixing.words_in(F.col("text"))
@@ -62,6 +73,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return importance.resample(table(spark, sf_dir, "documents"), good)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -73,7 +89,10 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op5_token_files": op5_token_files,
+    "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
+    "op9_importance": op9_importance,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
