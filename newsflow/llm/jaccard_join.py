@@ -22,6 +22,7 @@ Empty tables give an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,25 +74,30 @@ class Sets:
         return fold(self.sizes, a, b).view(np.int64)
 
 
-def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first size, parts) of each size class; linked sets lie in one class or in neighbours.
+def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first size, parts, equal parts) of each size class; linked sets lie in one class or in neighbours.
 
     Sets of class c and c + 1 that link differ in at most ``differ`` tokens, so
-    of differ + 2 parts at least two are equal; no parts where nothing may differ.
+    at least ``parts - differ`` parts are equal. That number is chosen above the
+    parts that are empty by chance, so that a filled one is among the equal
+    ones. No parts where nothing may differ.
     """
-    low, lows, parts = 1, [], []
+    low, lows, parts, equal = 1, [], [], []
     while low <= largest:
         high = low * 100 // percent
         differ = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
+        empty = (differ + 2) * math.exp(-low / (differ + 2))
+        spare = 2 + math.ceil(empty + 6 * math.sqrt(empty))
         lows.append(low)
-        parts.append(differ + 2 if differ else 0)
+        parts.append(differ + spare if differ else 0)
+        equal.append(spare)
         low = high + 1
-    return np.array(lows, np.int64), np.array(parts, np.int64)
+    return np.array(lows, np.int64), np.array(parts, np.int64), np.array(equal, np.int64)
 
 
 def part_keys(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, text) for the parts under which a set meets those it may link with."""
-    lows, parts = size_classes(int(sets.sizes.max(initial=1)), percent)
+    lows, parts, equal = size_classes(int(sets.sizes.max(initial=1)), percent)
     own = np.searchsorted(lows, sets.sizes, "right") - 1
     keys, owners = [], []
     for back in (0, 1):
@@ -106,9 +112,9 @@ def part_keys(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
         filled[at[owner] + part] = True
         text = np.repeat(np.arange(len(count)), count)
         number = np.arange(len(text)) - at[text]
-        # Two equal parts may both be empty only where a set has two empty ones.
+        # All equal parts may be empty only where a set has that many empty ones.
         empty = np.bincount(text[~filled], minlength=len(count))
-        keep = filled | (empty[text] > 1)
+        keep = filled | (empty >= equal[np.maximum(scheme, 0)])[text]
         keys.append(fold(scheme[text], number, sums)[keep])
         owners.append(text[keep])
     return np.concatenate(keys), np.concatenate(owners)
