@@ -14,13 +14,41 @@ CHARACTER_REFERENCES = [
     ("&copy;", "©"),
     ("&middot;", "·"),
     ("&quot;", '"'),
-    ("&#39;", "'"),
+    ("&apos;", "'"),
+    ("&lsquo;", "\u2018"),
+    ("&rsquo;", "\u2019"),
+    ("&ldquo;", "\u201c"),
+    ("&rdquo;", "\u201d"),
+    ("&ndash;", "\u2013"),
+    ("&mdash;", "\u2014"),
+    ("&hellip;", "\u2026"),
+    ("&bull;", "\u2022"),
+    ("&euro;", "\u20ac"),
+    ("&pound;", "\xa3"),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&amp;", "&"),
 ]
 
 
+def decode_numbers(text: Column) -> Column:
+    """Resolve &#8217; and &#x27; style references; what names no character stays as it is."""
+
+    def decoded(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
+        number = F.when(is_hex, F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
+        real = (digits != "") & (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(real, F.concat(character, F.substr(part, F.length(digits) + 2))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = let(
+        F.split(text, "&#", -1),
+        lambda p: F.array_join(F.concat(F.slice(p, 1, 1), F.transform(F.slice(p, F.lit(2), F.size(p)), decoded)), ""),
+    )
+    return F.when(F.contains(text, F.lit("&#")), parts).otherwise(text)
+
+
 def main_text(html: Column) -> Column:
     """Text of the page's <article>, or of the whole page when it has none.
 
@@ -33,6 +61,7 @@ def main_text(html: Column) -> Column:
     text = let(page, lambda p: F.coalesce(F.nullif(F.regexp_extract(p, ARTICLE, 1), F.lit("")), p))
     text = F.regexp_replace(text, BLOCK_END, "\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
+    text = let(text, decode_numbers)
     for reference, character in CHARACTER_REFERENCES:
         text = F.replace(text, F.lit(reference), F.lit(character))
     return text

@@ -11,12 +11,17 @@ NO_CONTENT = "no main article content was extracted"
 NO_PAGE = "no page was landed for this url"
 
 
-def item_page_join(items: DataFrame, pages: DataFrame, item_id="feed_pos") -> DataFrame:
+def item_page_join(items: DataFrame, pages: DataFrame, item_id="feed_pos", landed: str | None = None) -> DataFrame:
     """Items with the html landed under their exact url, null when there is none.
 
-    ``pages`` holds one row per url.
+    Pages of other urls are dropped before any html moves. Of several pages of
+    one url the latest by the column ``landed`` counts, ties and the default
+    by the html itself, so an item stays one row.
     """
-    return lookup(items, pages.select("url", "html"), "url", spread_by=item_id)
+    asked = items.select("url").filter("url is not null").distinct()
+    latest = F.struct(*[F.col(c) for c in ([landed] if landed else []) + ["html"]])
+    wanted = pages.join(asked, "url", "left_semi").groupBy("url").agg(F.max_by("html", latest).alias("html"))
+    return lookup(items, wanted, "url", spread_by=item_id)
 
 
 def with_scrape_status(joined: DataFrame, scraped_at=None) -> DataFrame:

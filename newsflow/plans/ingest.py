@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame
 
-from newsflow.operators.feed import FEED_LIMIT, feed_head, usable_items
+from newsflow.operators.feed import FEED_LIMIT, feed_head, require_items, usable_items
 from newsflow.operators.incremental import find_new
 from newsflow.operators.pages import item_page_join, with_scrape_status
 from newsflow.operators.reports import run_summary
@@ -13,11 +13,12 @@ def ingest(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(current items, new articles with body and status, run summary).
 
-    One lazy plan: head of the feed, usable items, items not in the history,
-    their pages, clean bodies. The current items become the next history.
+    Head of the feed, usable items, items not in the history, their pages,
+    clean bodies. The current items become the next history, so a feed without
+    usable items is an error, raised before any state could move.
     """
     head = items if limit is None else feed_head(items, limit)
-    current = usable_items(head)
+    current = require_items(usable_items(head))
     fresh = find_new(current, history)
     articles = with_scrape_status(item_page_join(fresh, pages), scraped_at)
     return current, articles, run_summary(current, articles)

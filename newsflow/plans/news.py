@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsflow.functions.lexicon import CRYPTO_ASSETS, Lexicon
 from newsflow.functions.vectors import term_vector
-from newsflow.operators.articles import filter_assets, with_defaults, with_full_text
+from newsflow.operators.articles import filter_assets, valid_rows, with_defaults, with_full_text
 from newsflow.operators.entities import embed_with, with_entities
 from newsflow.operators.ids import dense_ids
 from newsflow.operators.novelty import DISTANCE_THRESHOLD, flag_redundant
@@ -61,7 +61,8 @@ def process_articles(
     The cheap text filter comes first, vectors only for what passes it, and
     entities only for what is not redundant.
     """
-    passed = filter_assets(with_full_text(articles), lexicon)
+    # Rows that the table would refuse get no id and are no corpus for others.
+    passed = filter_assets(with_full_text(valid_rows(articles)), lexicon)
     start = 1 if stored is None else ArticleStore.next_id(stored)
     flagged = detect_novelty(passed, stored, start, **options)
     rows = with_entities(flagged, lexicon, dictionary, extra_names=extra_names)

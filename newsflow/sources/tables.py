@@ -4,10 +4,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table; spread over the cores when it arrives in fewer splits than there are cores.
-
-    A large table has more splits than cores and is read as it lies.
-    """
-    table = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """One table, in the splits that spark.sql.files.maxPartitionBytes gives."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -2,11 +2,12 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import entities, lexicon
 
+# Own sentences: a name and a ticker, neither, a name in a question, and a ticker's letters in lower case.
 NEWS = [
-    "Hyperliquid Launches New L2 Order Book. The HYPE token surged",
-    "Random Meme Coin reaches 1 million Market Cap. trending on decentralized exchanges.",
-    "Is the Solana network congested again?. issues processing SOL transactions",
-    "Sun hype reaches new levels in Miami. The sun is out, and the hype is real.",
+    "Traders move to Hyperliquid. Volume in HYPE doubled within a week",
+    "A new token was listed. Nobody has heard of it before.",
+    "Will Solana validators vote today?. SOL holders wait for the count",
+    "All the hype is about sol, the old word for daylight. A calm day at sea.",
 ]
 
 
@@ -21,7 +22,7 @@ def test_word_edges(one):
 
 
 def test_mentions_in_text_order(one):
-    text = "Solana validators. Meanwhile, BTC dominance, Ethereum and HYPE; hype, btc"
+    text = "Solana fees fell. Later BTC rose, as did Ethereum and then HYPE; no hype, no btc"
     got = one(entities.gazetteer_mentions, [text])[0]
     assert [(m["pos"], m["word"], m["score"]) for m in got] == [
         (0, "Solana", 1.0), (1, "BTC", 1.0), (2, "Ethereum", 1.0), (3, "HYPE", 1.0),
