@@ -47,7 +47,7 @@ def order_keys(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def into_blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(block, n_bytes, payload): some two megabytes of whole documents a row, sorted by id.
+    """(block, n_bytes, payload): about a megabyte of whole documents a row, sorted by id.
 
     A block's number comes from its task and place, so callers write the
     result once and read that table in every later pass.
