@@ -304,10 +304,13 @@ def join(
                 other = name != smallest
                 links = np.unique(np.stack([smallest[other], name[other]], 1), axis=0)
                 bucket = (keys[fresh] >> np.uint64(40)) % np.uint64(buckets)
-                where = np.argsort(bucket, kind="stable")
+                # In the order of classes, these compress to next to nothing; 40 bits and the bucket tell keys apart.
+                kept_keys, kept_names = keys[fresh], name[fresh]
+                where = np.lexsort((kept_names, bucket))
                 found, starts = np.unique(bucket[where], return_index=True)
                 parts = np.split(where, starts[1:]) if len(found) else []
-                data = [arrays(key=keys[fresh][p], name=name[fresh][p]) for p in parts]
+                low, high = kept_keys.astype(np.uint32), (kept_keys >> np.uint64(32)).astype(np.uint8)
+                data = [arrays(low=low[p], high=high[p], name=kept_names[p]) for p in parts]
                 out = [found.astype(np.int64), np.full(len(links), -1) - (links[:, 0] % buckets)] if len(links) else [found.astype(np.int64)]
                 bucket_col = np.concatenate(out)
                 blobs = pa.array(data + [None] * len(links), pa.binary())
@@ -317,7 +320,8 @@ def join(
 
     def met(table: pa.Table) -> pa.Table:
         sent = [unpack(d) for d in table.column("data").to_pylist()]
-        keys = np.concatenate([column(s, "key") for s in sent])
+        low, high = (np.concatenate([column(s, c) for s in sent]).astype(np.uint64) for c in ("low", "high"))
+        keys = low | (high << np.uint64(32))
         name = np.concatenate([column(s, "name") for s in sent])
         order = np.lexsort((name, keys))
         keys, name = keys[order], name[order]
