@@ -23,6 +23,7 @@ Empty tables give an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ from newsflow.llm.graph import components
 from newsflow.llm.words import fold, mix, pieces, span_hashes, window_hashes, words_of
 from newsflow.operators.shipping import ship_package
 from newsflow.operators.staging import Staging, staging_for
+from newsflow.sources.files import delete
 
 BITS = 1024
 LONGS = BITS // 64
@@ -260,6 +262,13 @@ def _traversed(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _written(staging: Staging, frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A written table and its path, for one that goes as soon as the next is written."""
+    path = f"{staging.root}/{name}-{uuid.uuid4().hex[:8]}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
 def join(
     docs: DataFrame,
     width: int = 3,
@@ -332,10 +341,12 @@ def join(
         links = np.unique(np.stack([smallest[other], name[other]], 1), axis=0)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    sent = staging.table(docs.mapInArrow(keyed, "bucket bigint, data binary, a bigint, b bigint"), "keys")
+    spark = docs.sparkSession
+    sent, sent_path = _written(staging, docs.mapInArrow(keyed, "bucket bigint, data binary, a bigint, b bigint"), "keys")
     local = sent.filter("data is null").select("a", "b")
     across = sent.filter("data is not null").select("bucket", "data").groupBy("bucket").applyInArrow(met, "a bigint, b bigint")
     trees = staging.table(components(local.unionByName(across), staging), "trees")
+    delete(spark, sent_path)
 
     wanted = (
         members.filter("name is not null")
@@ -360,7 +371,9 @@ def join(
                 )
 
     rows = texts.mapInArrow(tokens, "tree bigint, name bigint, size bigint, low_token bigint, tokens binary")
-    leaves = staging.table(_leaves(staging.table(rows, "sets")), "leaves")
+    sets, sets_path = _written(staging, rows, "sets")
+    leaves = staging.table(_leaves(sets), "leaves")
+    delete(spark, sets_path)
     near = leaves.select(F.col("leaf").alias("x"), F.explode(F.array("leaf", F.col("leaf") + 1)).alias("y"), "tree")
     near = near.join(leaves.select(F.col("leaf").alias("y"), F.col("tree").alias("t")), "y").filter("t = tree").select("x", "y")
     first = staging.table(_traversed(near, leaves, percent), "near")
