@@ -10,9 +10,9 @@ branches over leaves and twigs to classes. A pair of nodes is dropped when the
 largest overlap it may hold, that is common bits plus lost tokens, is less than
 its smallest sizes need. What is left is verified on the sets themselves.
 
-Links inside a leaf and to the next leaf are found first. Pairs of leaves that
-these links already put in one component are not traversed, so a large group
-of near copies costs about as much as its size.
+Links inside a leaf and to the next leaf are found first, where the leaves are
+built. Pairs of leaves that these links already put in one component are not
+traversed, so a large group of near copies costs about as much as its size.
 
 Null and empty texts have no set and link with nothing. Fewer words than a
 shingle form one shingle. Repeated rows are linked (if they have a set). With
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.llm.blocks import arrays, column, unpack
+from newsflow.llm.blocks import arrays, column, pack, unpack
 from newsflow.llm.graph import components
 from newsflow.llm.words import fold, mix, pieces, span_hashes, window_hashes, words_of
 from newsflow.operators.shipping import ship_package
@@ -203,28 +203,31 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     )
 
 
-def _leaves(rows: DataFrame) -> DataFrame:
-    """Leaves of at most LEAF classes from rows (tree, name, size, low_token, tokens)."""
-    kind = "leaf bigint, tree bigint, low bigint, high bigint, lost bigint, bits array<bigint>, payload binary"
+def _leaves(rows: DataFrame, percent: int) -> DataFrame:
+    """Leaves of at most LEAF classes from rows (tree, name, size, low_token, tokens).
+
+    ``a`` and ``b`` are the ends of the links inside a leaf and to the one before it.
+    """
+    kind = "leaf bigint, tree bigint, low bigint, high bigint, lost bigint, bits array<bigint>, names array<bigint>, a array<bigint>, b array<bigint>, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << _ROW_BITS
         held: list = []
         tree, tokens = None, 0
+        before: Leaf | None = None
 
         def close() -> pa.RecordBatch:
-            sets = [np.frombuffer(t, np.uint64) for _, t in held]
-            payload = pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([t for _, t in held], pa.large_binary())], ["name", "tokens"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, payload.schema) as out:
-                out.write_batch(payload)
-            bits = np.stack([bitmap(s) for s in sets])
-            sizes = np.array([len(s) for s in sets])
-            lost = int((sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)).max())
-            joined = np.bitwise_or.reduce(bits).view(np.int64)
-            row = [number, tree, int(sizes.min()), int(sizes.max()), lost, joined.tolist(), sink.getvalue().to_pybytes()]
-            types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.binary()]
-            names = ["leaf", "tree", "low", "high", "lost", "bits", "payload"]
+            nonlocal before
+            # Near copies lie side by side here, so this compresses well.
+            payload = pack(pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([t for _, t in held], pa.large_binary())], ["name", "tokens"]))
+            leaf = Leaf(payload)
+            links = traverse(leaf, leaf, percent) + (traverse(before, leaf, percent) if before else [])
+            before = leaf
+            joined = np.bitwise_or.reduce(leaf.bits).view(np.int64)
+            ends = [[link[at] for link in links] for at in (0, 1)]
+            row = [number, tree, int(leaf.sizes.min()), int(leaf.sizes.max()), int(leaf.lost.max()), joined, leaf.names, *ends, payload]
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 4 + [pa.binary()]
+            names = ["leaf", "tree", "low", "high", "lost", "bits", "names", "a", "b", "payload"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
         for batch in batches:
@@ -234,6 +237,8 @@ def _leaves(rows: DataFrame) -> DataFrame:
                 if held and (here != tree or len(held) >= LEAF or tokens > LEAF_TOKENS):
                     yield close()
                     held, tokens, number = [], 0, number + 1
+                if here != tree:
+                    before = None
                 tree = here
                 held.append((name, data))
                 tokens += len(data) // 8
@@ -248,15 +253,12 @@ def _traversed(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     """(a, b): links found by traversing pairs (x, y) of leaves."""
     x = leaves.select(F.col("leaf").alias("x"), F.col("payload").alias("left"))
     y = leaves.select(F.col("leaf").alias("y"), F.col("payload").alias("right"))
-    # A leaf with itself needs its payload once.
-    rows = pairs.join(x, "x").join(y, "y").select("x", "y", "left", F.when(F.col("x") != F.col("y"), F.col("right")).alias("right"))
+    rows = pairs.join(x, "x").join(y, "y").select("left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column("left"), batch.column("right")):
-                a = Leaf(left.as_py())
-                b = Leaf(right.as_py()) if right.is_valid else a
-                found = np.array(traverse(a, b, percent), np.int64).reshape(-1, 2)
+                found = np.array(traverse(Leaf(left.as_py()), Leaf(right.as_py()), percent), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -372,17 +374,15 @@ def join(
 
     rows = texts.mapInArrow(tokens, "tree bigint, name bigint, size bigint, low_token bigint, tokens binary")
     sets, sets_path = _written(staging, rows, "sets")
-    leaves = staging.table(_leaves(sets), "leaves")
+    leaves = staging.table(_leaves(sets, percent), "leaves")
     delete(spark, sets_path)
-    near = leaves.select(F.col("leaf").alias("x"), F.explode(F.array("leaf", F.col("leaf") + 1)).alias("y"), "tree")
-    near = near.join(leaves.select(F.col("leaf").alias("y"), F.col("tree").alias("t")), "y").filter("t = tree").select("x", "y")
-    first = staging.table(_traversed(near, leaves, percent), "near")
+    first = leaves.select(F.inline(F.arrays_zip("a", "b")))
     joined = components(first, staging)
     # The component of a leaf's classes, if these all have one.
-    names = staging.table(_names(leaves), "names")
+    names = leaves.select("leaf", F.explode("names").alias("name"))
     state = names.join(joined.withColumnRenamed("node", "name"), "name", "left")
     state = state.groupBy("leaf").agg(F.min(F.coalesce("root", "name")).alias("least"), F.max(F.coalesce("root", "name")).alias("most"))
-    nodes = leaves.drop("payload").join(state, "leaf").withColumn("branch", F.floor(F.col("leaf") / BRANCH))
+    nodes = leaves.select("leaf", "tree", "low", "high", "lost", "bits").join(state, "leaf").withColumn("branch", F.floor(F.col("leaf") / BRANCH))
     nodes = staging.table(nodes, "nodes")
     rest = staging.table(_open_pairs(nodes, percent), "pairs")
     second = _traversed(rest, leaves, percent)
@@ -396,18 +396,6 @@ def join(
     return members.join(named, "name").select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionByName(none)
 
 
-def _names(leaves: DataFrame) -> DataFrame:
-    """(leaf, name): the classes of each leaf."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for leaf, payload in zip(batch.column("leaf").to_pylist(), batch.column("payload")):
-                names = unpack(payload.as_py()).column("name")
-                yield pa.RecordBatch.from_arrays([pa.array([leaf] * len(names), pa.int64()), names], ["leaf", "name"])
-
-    return leaves.select("leaf", "payload").mapInArrow(run, "leaf bigint, name bigint")
-
-
 def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """(x, y): leaves beyond neighbours that may hold links and are not in one component yet."""
     joined_bits = F.array(*[F.bit_or(F.col("bits")[i]) for i in range(LONGS)])

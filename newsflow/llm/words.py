@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 
 # Bytes of text handled at a time; a longer text is handled alone, whole.
 PIECE_BYTES = 1 << 20
+HASHED_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -94,7 +95,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return span_hashes(_BYTE_VALUES[which][self.raw], self.starts, self.ends, which)
+        """Fingerprint of each word. Bytes are taken some at a time, as each needs several numbers meanwhile."""
+        out = np.zeros(len(self.starts), np.uint64)
+        at = 0
+        while at < len(out):
+            begin = self.starts[at]
+            to = int(np.searchsorted(self.starts, begin + HASHED_BYTES))
+            values = _BYTE_VALUES[which][self.raw[begin : self.ends[to - 1]]]
+            out[at:to] = span_hashes(values, self.starts[at:to] - begin, self.ends[at:to] - begin, which)
+            at = to
+        return out
 
     def per_text(self, flags: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
         """Sum of ``flags`` (one per byte, or per word with bounds=first) in each text."""
