@@ -13,6 +13,8 @@ its smallest sizes need. What is left is verified on the sets themselves.
 Links inside a leaf and to the next leaf are found first, where the leaves are
 built. Pairs of leaves that these links already put in one component are not
 traversed, so a large group of near copies costs about as much as its size.
+Other pairs of leaves meet on wider bitmaps of their classes first, four bits a
+token; whole sets travel only for the pairs of leaves this leaves over.
 
 Null and empty texts have no set and link with nothing. Fewer words than a
 shingle form one shingle. Repeated rows are linked (if they have a set). With
@@ -143,12 +145,43 @@ class Leaf:
         self.twig_lost = np.maximum.reduceat(self.lost, cuts)
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(tokens % np.uint64(BITS)).astype(np.int64)] = True
+def bitmap(tokens: np.ndarray, width: int = BITS) -> np.ndarray:
+    bits = np.zeros(width, bool)
+    bits[(tokens % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits).view(np.uint64)
 
 
+def signatures(leaf: Leaf) -> bytes:
+    """Bitmaps of a leaf's classes, each of a power of two of bits, at least four a token."""
+    wide = [bitmap(s, max(64, 1 << (4 * len(s) - 1).bit_length())).tobytes() for s in leaf.sets]
+    return pack(pa.RecordBatch.from_arrays([pa.array(leaf.sizes), pa.array(wide, pa.large_binary())], ["size", "bits"]))
+
+
+def _by_width(signs: bytes, roots: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bitmaps, sizes, roots) of the classes of each bitmap width."""
+    batch = unpack(signs)
+    sizes, roots = column(batch, "size"), np.array(roots, np.int64)
+    bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in batch.column("bits")]
+    widths = np.array([len(b) for b in bits])
+    return [(np.stack([bits[i] for i in np.flatnonzero(widths == w)]), sizes[widths == w], roots[widths == w]) for w in np.unique(widths)]
+
+
+def may_meet(a: list, b: list, percent: int) -> bool:
+    """Can a class of one leaf link with one of the other that is not in its component?"""
+    for bits_a, sizes_a, roots_a in a:
+        for bits_b, sizes_b, roots_b in b:
+            if 100 * sizes_a.max() < percent * sizes_b.min() or 100 * sizes_b.max() < percent * sizes_a.min():
+                continue
+            # The wider bitmap, folded, is the bitmap of the narrower width.
+            width = min(bits_a.shape[1], bits_b.shape[1])
+            x, y = (np.bitwise_or.reduce(m.reshape(len(m), -1, width), axis=1) for m in (bits_a, bits_b))
+            lost_x, lost_y = (n - np.bitwise_count(m).sum(1, dtype=np.int64) for m, n in ((x, sizes_a), (y, sizes_b)))
+            pairs = may_link(x, sizes_a, sizes_a, lost_x, y, sizes_b, sizes_b, lost_y, percent)
+            if (pairs & (roots_a[:, None] != roots_b[None])).any():
+                return True
+    return False
+
+
 def may_link(bits_a, low_a, high_a, lost_a, bits_b, low_b, high_b, lost_b, percent: int) -> np.ndarray:
     """Matrix: can a class of node a and one of node b link?"""
     common = np.bitwise_count(bits_a[:, None] & bits_b[None]).sum(-1, dtype=np.int64)
@@ -208,7 +241,7 @@ def _leaves(rows: DataFrame, percent: int) -> DataFrame:
 
     ``a`` and ``b`` are the ends of the links inside a leaf and to the one before it.
     """
-    kind = "leaf bigint, tree bigint, low bigint, high bigint, lost bigint, bits array<bigint>, names array<bigint>, a array<bigint>, b array<bigint>, payload binary"
+    kind = "leaf bigint, tree bigint, low bigint, high bigint, lost bigint, bits array<bigint>, names array<bigint>, a array<bigint>, b array<bigint>, signs binary, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << _ROW_BITS
@@ -225,9 +258,9 @@ def _leaves(rows: DataFrame, percent: int) -> DataFrame:
             before = leaf
             joined = np.bitwise_or.reduce(leaf.bits).view(np.int64)
             ends = [[link[at] for link in links] for at in (0, 1)]
-            row = [number, tree, int(leaf.sizes.min()), int(leaf.sizes.max()), int(leaf.lost.max()), joined, leaf.names, *ends, payload]
-            types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 4 + [pa.binary()]
-            names = ["leaf", "tree", "low", "high", "lost", "bits", "names", "a", "b", "payload"]
+            row = [number, tree, int(leaf.sizes.min()), int(leaf.sizes.max()), int(leaf.lost.max()), joined, leaf.names, *ends, signatures(leaf), payload]
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 4 + [pa.binary()] * 2
+            names = ["leaf", "tree", "low", "high", "lost", "bits", "names", "a", "b", "signs", "payload"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
         for batch in batches:
@@ -264,6 +297,22 @@ def _traversed(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _refined(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of leaves that may hold links between components, by the bitmaps of their classes."""
+    x = signs.select(F.col("leaf").alias("x"), F.col("signs").alias("left"), F.col("roots").alias("left_roots"))
+    y = signs.select(F.col("leaf").alias("y"), F.col("signs").alias("right"), F.col("roots").alias("right_roots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for at in range(batch.num_rows):
+                left, left_roots, right, right_roots = (batch.column(c)[at].as_py() for c in ("left", "left_roots", "right", "right_roots"))
+                kept.append(may_meet(_by_width(left, left_roots), _by_width(right, right_roots), percent))
+            yield batch.select(["x", "y"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.join(x, "x").join(y, "y").select("x", "y", "left", "left_roots", "right", "right_roots").mapInArrow(run, "x bigint, y bigint")
+
+
 def _written(staging: Staging, frame: DataFrame, name: str) -> tuple[DataFrame, str]:
     """A written table and its path, for one that goes as soon as the next is written."""
     path = f"{staging.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -379,12 +428,16 @@ def join(
     first = leaves.select(F.inline(F.arrays_zip("a", "b")))
     joined = components(first, staging)
     # The component of a leaf's classes, if these all have one.
-    names = leaves.select("leaf", F.explode("names").alias("name"))
+    names = leaves.select("leaf", F.posexplode("names").alias("at", "name"))
     state = names.join(joined.withColumnRenamed("node", "name"), "name", "left")
-    state = state.groupBy("leaf").agg(F.min(F.coalesce("root", "name")).alias("least"), F.max(F.coalesce("root", "name")).alias("most"))
+    state = state.withColumn("root", F.coalesce("root", "name")).groupBy("leaf").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.array_sort(F.collect_list(F.struct("at", "root"))).getField("root").alias("roots")
+    )
     nodes = leaves.select("leaf", "tree", "low", "high", "lost", "bits").join(state, "leaf").withColumn("branch", F.floor(F.col("leaf") / BRANCH))
     nodes = staging.table(nodes, "nodes")
     rest = staging.table(_open_pairs(nodes, percent), "pairs")
+    signs = nodes.select("leaf", "roots").join(leaves.select("leaf", "signs"), "leaf")
+    rest = staging.table(_refined(rest, signs, percent), "refined")
     second = _traversed(rest, leaves, percent)
     links = staging.table(first.unionByName(second), "links")
     roots = components(links, staging).withColumnRenamed("node", "name")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,6 +17,7 @@ from newsflow.llm import (
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, size string, ledger string"
 CHOICE = random.Random(5)
+from newsflow.llm.blocks import pack
 VOCABULARY = ["".join(CHOICE.choices("abcdeéß", k=CHOICE.randint(1, 6))) for _ in range(300)]
 
 
@@ -111,6 +113,29 @@ def test_jaccard_join(spark, empty, width, percent):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_signatures_lose_no_link():
+    """Leaves of sets of very different sizes: a pair is dropped only if it holds no link between components."""
+    draw = np.random.default_rng(5)
+    bases = [draw.integers(1, 2**63, n, np.uint64) for n in (1, 9, 60, 500, 4000)]
+
+    def leaf(first, changed):
+        sets = [np.unique(np.concatenate([b[int(len(b) * changed) :], draw.integers(1, 2**63, int(len(b) * changed), np.uint64)])) for b in bases]
+        names = pa.array(range(first, first + len(sets)), pa.int64())
+        return jaccard_join.Leaf(pack(pa.RecordBatch.from_arrays([names, pa.array([t.tobytes() for t in sets], pa.large_binary())], ["name", "tokens"])))
+
+    roots = [list(range(5)), list(range(10, 15))]
+    outcomes = set()
+    for changed in (0, 0.05, 0.1, 0.3, 0.9, 1):
+        a, b = leaf(0, 0), leaf(10, changed)
+        found = jaccard_join.traverse(a, b, 80)
+        x, y = (jaccard_join._by_width(jaccard_join.signatures(l), r) for l, r in zip((a, b), roots))
+        met = jaccard_join.may_meet(x, y, 80)
+        assert met or not found
+        outcomes.add(met)
+        assert not jaccard_join.may_meet(x, jaccard_join._by_width(jaccard_join.signatures(a), roots[0]), 80)
+    assert outcomes == {True, False}
+
+
 def test_one_of_each(docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
