@@ -14,7 +14,8 @@ Links inside a leaf and to the next leaf are found first, where the leaves are
 built. Pairs of leaves that these links already put in one component are not
 traversed, so a large group of near copies costs about as much as its size.
 Other pairs of leaves meet on wider bitmaps of their classes first, four bits a
-token; whole sets travel only for the pairs of leaves this leaves over.
+token; whole sets travel only for the pairs of leaves this leaves over. Pairs
+are dealt in blocks, and a leaf travels once for each block that names it.
 
 Null and empty texts have no set and link with nothing. Fewer words than a
 shingle form one shingle. Repeated rows are linked (if they have a set). With
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.llm.blocks import arrays, column, pack, unpack
+from newsflow.llm.blocks import arrays, column, pack, release, unpack
 from newsflow.llm.graph import components
 from newsflow.llm.words import fold, mix, pieces, span_hashes, window_hashes, words_of
 from newsflow.operators.shipping import ship_package
@@ -46,6 +47,8 @@ LEAF, TWIG, BRANCH = 128, 8, 32
 # Tokens of a leaf: one more class closes it.
 LEAF_TOKENS = 1 << 17
 BUCKET_BYTES = 16 << 20
+# Leaves on each side of a block of pairs: of their bitmaps, and of whole sets.
+SIGN_SIDE, FULL_SIDE = 64, 4
 _ROW_BITS = 33
 
 
@@ -277,40 +280,58 @@ def _leaves(rows: DataFrame, percent: int) -> DataFrame:
                 tokens += len(data) // 8
         if held:
             yield close()
+        release()
 
     ordered = rows.repartitionByRange("tree", "size", "low_token", "name").sortWithinPartitions("tree", "size", "low_token", "name")
     return ordered.select("tree", "name", "tokens").mapInArrow(run, kind)
 
 
-def _traversed(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found by traversing pairs (x, y) of leaves."""
-    x = leaves.select(F.col("leaf").alias("x"), F.col("payload").alias("left"))
-    y = leaves.select(F.col("leaf").alias("y"), F.col("payload").alias("right"))
-    rows = pairs.join(x, "x").join(y, "y").select("left", "right")
+def _in_blocks(pairs: DataFrame, leaves: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, leaves) by block, (p, q) and (at_p, at_q): pairs of ``side`` by ``side`` leaves, and each leaf they name once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                found = np.array(traverse(Leaf(left.as_py()), Leaf(right.as_py()), percent), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+    So a leaf travels once per block instead of once per pair, a block's size is
+    bounded, and leaves without a pair do not travel at all.
+    """
+    p, q = F.floor(F.col("x") / side), F.floor(F.col("y") / side)
+    placed = pairs.select(p.alias("p"), q.alias("q"), "x", "y")
+    named = pairs.select(p.alias("at_p"), q.alias("at_q"), F.explode(F.array("x", "y")).alias("leaf")).distinct()
+    return placed, leaves.join(named, "leaf")
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+
+def _traversed(pairs: DataFrame, leaves: DataFrame, percent: int, staging: Staging) -> DataFrame:
+    """(a, b): links found by traversing pairs (x, y) of leaves."""
+    named = pairs.select(F.explode(F.array("x", "y")).alias("leaf")).distinct()
+    needed = staging.table(leaves.select("leaf", "payload").join(named, "leaf", "left_semi"), "needed")
+    placed, held = _in_blocks(pairs, needed, FULL_SIDE)
+
+    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
+        payload = dict(zip(table.column("leaf").to_pylist(), table.column("payload")))
+        ends = sorted(zip(asked.column("x").to_pylist(), asked.column("y").to_pylist()))
+        found: list[tuple[int, int]] = []
+        at, left = None, None
+        for x, y in ends:
+            if x != at:
+                at, left = x, Leaf(payload[x].as_buffer())
+            found += traverse(left, Leaf(payload[y].as_buffer()), percent)
+        release()
+        links = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+
+    return placed.groupBy("p", "q").cogroup(held.groupBy("at_p", "at_q")).applyInArrow(run, "a bigint, b bigint")
 
 
 def _refined(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) of leaves that may hold links between components, by the bitmaps of their classes."""
-    x = signs.select(F.col("leaf").alias("x"), F.col("signs").alias("left"), F.col("roots").alias("left_roots"))
-    y = signs.select(F.col("leaf").alias("y"), F.col("signs").alias("right"), F.col("roots").alias("right_roots"))
+    placed, held = _in_blocks(pairs, signs, SIGN_SIDE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for at in range(batch.num_rows):
-                left, left_roots, right, right_roots = (batch.column(c)[at].as_py() for c in ("left", "left_roots", "right", "right_roots"))
-                kept.append(may_meet(_by_width(left, left_roots), _by_width(right, right_roots), percent))
-            yield batch.select(["x", "y"]).filter(pa.array(kept, pa.bool_()))
+    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
+        ids = table.column("leaf").to_pylist()
+        known = {n: _by_width(s.as_buffer(), r.as_py()) for n, s, r in zip(ids, table.column("signs"), table.column("roots"))}
+        kept = [may_meet(known[x], known[y], percent) for x, y in zip(asked.column("x").to_pylist(), asked.column("y").to_pylist())]
+        release()
+        return asked.select(["x", "y"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "left", "left_roots", "right", "right_roots").mapInArrow(run, "x bigint, y bigint")
+    return placed.groupBy("p", "q").cogroup(held.groupBy("at_p", "at_q")).applyInArrow(run, "x bigint, y bigint")
 
 
 def _written(staging: Staging, frame: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -342,6 +363,7 @@ def join(
                 size = pa.array(np.diff(sets.first).astype(np.int64))
                 bytes_ = pa.array(np.full(len(size), piece.column("text").nbytes // max(1, len(size))))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), name, size, bytes_], ["doc_id", "name", "size", "n_bytes"])
+        release()
 
     members = staging.table(docs.mapInArrow(measure, f"doc_id {id_kind}, name bigint, size bigint, n_bytes bigint"), "members")
     total = members.agg(F.sum("n_bytes")).first()[0] or 0
@@ -377,6 +399,7 @@ def join(
                 none = np.zeros(len(found), np.int64)
                 ends = [pa.array(np.concatenate([none, links[:, c]]) if len(links) else none) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket_col), blobs, *ends], ["bucket", "data", "a", "b"])
+        release()
 
     def met(table: pa.Table) -> pa.Table:
         sent = [unpack(d) for d in table.column("data").to_pylist()]
@@ -390,6 +413,7 @@ def join(
         smallest = name[fresh][np.cumsum(fresh) - 1]
         other = name != smallest
         links = np.unique(np.stack([smallest[other], name[other]], 1), axis=0)
+        release()
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     spark = docs.sparkSession
@@ -420,6 +444,7 @@ def join(
                     [piece.column("tree").take(pa.array(hit)), piece.column("name").take(pa.array(hit)), pa.array(sets.sizes[hit]), pa.array(low, pa.int64()), pa.array(data, pa.binary())],
                     ["tree", "name", "size", "low_token", "tokens"],
                 )
+        release()
 
     rows = texts.mapInArrow(tokens, "tree bigint, name bigint, size bigint, low_token bigint, tokens binary")
     sets, sets_path = _written(staging, rows, "sets")
@@ -438,7 +463,7 @@ def join(
     rest = staging.table(_open_pairs(nodes, percent), "pairs")
     signs = nodes.select("leaf", "roots").join(leaves.select("leaf", "signs"), "leaf")
     rest = staging.table(_refined(rest, signs, percent), "refined")
-    second = _traversed(rest, leaves, percent)
+    second = _traversed(rest, leaves, percent, staging)
     links = staging.table(first.unionByName(second), "links")
     roots = components(links, staging).withColumnRenamed("node", "name")
     classes = members.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("id"))

@@ -113,6 +113,15 @@ def test_jaccard_join(spark, empty, width, percent):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_jaccard_join_over_many_leaves(spark, monkeypatch):
+    """Leaves of three classes, so that links between distant leaves are found in blocks of pairs."""
+    for name, value in {"LEAF": 3, "BRANCH": 4, "SIGN_SIDE": 2, "FULL_SIDE": 2}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    data = near_copies()
+    got = jaccard_join.join(spark.createDataFrame(data, SCHEMA), 5, 80).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_components(data, 5, 80)
+
+
 def test_signatures_lose_no_link():
     """Leaves of sets of very different sizes: a pair is dropped only if it holds no link between components."""
     draw = np.random.default_rng(5)
