@@ -9,14 +9,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from newsflow.llm.words import fold, pieces, words_of
 
 _ROW_BITS = 33
+# Spark's defaults for Arrow batches, and what whole texts need instead.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
 LAST = np.iinfo(np.int64).max
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, as each is held by the JVM and the worker at once; own settings stay."""
+    for key, (default, wanted) in _BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, wanted)
+
+
 def release() -> None:
     """Give freed memory back to the system: a worker process outlives its task, and what it keeps adds up."""
     pa.default_memory_pool().release_unused()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.llm.blocks import arrays, column, pack, release, unpack
+from newsflow.llm.blocks import arrays, column, pack, release, small_batches, unpack
 from newsflow.llm.graph import components
 from newsflow.llm.words import fold, mix, pieces, span_hashes, window_hashes, words_of
 from newsflow.operators.shipping import ship_package
@@ -351,6 +351,7 @@ def join(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     staging = staging_for(docs, staging)
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     id_kind = docs.schema["doc_id"].dataType.simpleString()
