@@ -37,6 +37,17 @@ class Staging:
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def result(self, frame: DataFrame, name: str) -> DataFrame:
+        """The table of a job's result; the job's other tables are removed."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        frame.write.parquet(path)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for entry in files.listStatus(root):
+            if not path.endswith(f"/{entry.getPath().getName()}"):
+                files.delete(entry.getPath(), True)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
