@@ -10,14 +10,18 @@ through a cell join; both are exact. The steps they share:
 
 1. Equal vectors collapse to their earliest row. A group of copies costs one
    row from there on, however large it is.
-2. Each row is compared with the *earliest* row of its lists or with a bounded
+2. Each row is compared with *one* earliest row of its lists or with a bounded
    set of pivots. In a large group of near copies that settles nearly all
    rows at linear cost.
-3. Only what is left is compared in full, in pieces of bounded size; sparse
-   rows first with a sample of their lists, so that most settle early.
+3. Only what is left is compared in full, in pieces of bounded size. Sparse
+   rows meet candidates in growing rounds: for flags, samples of all rows; for
+   the earliest match, ranges of rising ``seq``, so that what a round finds is
+   final and lists that begin later are not looked at again.
+4. A pair of sparse rows shows its weights at their common rare terms before
+   any vector moves; the norms of what these leave over bound the rest.
 """
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from newsflow.functions.articles import novelty_label
 from newsflow.functions.vectors import sparse_dot
@@ -31,8 +35,10 @@ DISTANCE_THRESHOLD = 0.2
 # Bounds are compared with this slack so that rounding never loses a pair; the
 # pair itself is then decided by its real distance.
 SLACK = 1e-9
-ROWS_PER_PIECE = 50_000
-FIRST_ROUND = 64
+# Rows of a list that meet in one group, on either side.
+ROWS_PER_PIECE = 4096
+# Rows of the longest list that the first round takes.
+FIRST_ROUND = 16
 ROUND_GROWTH = 16
 
 
@@ -104,13 +110,15 @@ def _collapse(new_rows, stored, sparse: bool, first_match: bool, staging: Stagin
 
 
 def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> DataFrame:
-    """Inverted lists of the terms a match must share: (term, seq, query, rest, rows, first_seq, first_rest).
+    """Inverted lists of the terms a match must share.
 
-    Terms are ordered by how many rows hold them, rarest first. ``rest`` is the
+    (term, seq, query, weight, rest, cut, rows, first_seq, first_weight): terms
+    are ordered by how many rows hold them, rarest first. ``rest`` is the
     squared norm of a row's vector from that term on. If two rows reach the
     similarity s, then at their first common term rest * rest >= s * s (``needed``),
     because all of their dot product comes from there on. So a term whose
-    ``rest`` is below s * s, even against the largest ``rest`` in its list, needs no entry.
+    ``rest`` is below s * s needs no entry. ``cut`` is the squared norm of the
+    terms of a row without an entry.
     """
     terms = vectors.select("seq", "query", F.explode("vec").alias("t")).select(
         "seq", "query", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")
@@ -125,24 +133,24 @@ def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> Da
     )
     shared = lookup(terms, common, "term", spread_by="seq", how="inner", counts=common)
     # One row's terms at a time: the window is as large as one text.
-    prefix = shared.selectExpr(
+    ranked = shared.selectExpr(
         "term",
         "seq",
         "query",
+        "weight",
         "sum(weight * weight) over (partition by seq order by rows desc, term desc "
         "rows between unbounded preceding and current row) as rest",
-    ).filter(F.col("rest") >= needed)
-    prefix = staging.table(prefix, "prefix")
+    )
+    left_over = F.max(F.when(F.col("rest") < needed, F.col("rest")).otherwise(0.0)).over(Window.partitionBy("seq"))
+    prefix = staging.table(ranked.withColumn("cut", left_over).filter(F.col("rest") >= needed), "prefix")
     lists = prefix.groupBy("term").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.max("rest").alias("top"),
         F.min("seq").alias("first_seq"),
-        F.min_by("rest", "seq").alias("first_rest"),
+        F.min_by("weight", "seq").alias("first_weight"),
         F.max("query").alias("asked"),
     ).filter((F.col("rows") > 1) & F.col("asked"))
-    lists = staging.table(lists, "lists")
-    live = lookup(prefix, lists.drop("asked"), "term", spread_by="seq", how="inner", counts=lists)
-    return staging.table(live.filter(F.col("rest") * F.col("top") >= needed).drop("top"), "live")
+    lists = staging.table(lists.drop("asked"), "lists")
+    return staging.table(lookup(prefix, lists, "term", spread_by="seq", how="inner", counts=lists), "live")
 
 
 def _confirm(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -161,13 +169,50 @@ def _confirm(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     return near.groupBy("seq").agg(F.min("cand").alias("match_seq"))
 
 
-def _rounds(largest: int, first_round: int):
-    """Ranges [low, high) of list places: the first few, then ever more, then the rest."""
-    low, high = 0, first_round
-    while high < largest:
-        yield low, high
-        low, high = high, high * ROUND_GROWTH
-    yield low, None
+def _shares(largest: int, first_round: int) -> list[float]:
+    """Shares of all rows that the rounds end with: so that the longest list gives few entries, then ever more, then all."""
+    shares = [first_round / max(1, largest)]
+    while shares[-1] < 1:
+        shares.append(shares[-1] * ROUND_GROWTH)
+    return [*shares[:-1], 1.0]
+
+
+def _possible_pairs(asking: DataFrame, candidates: DataFrame, share: float, similarity: float, rows_per_piece: int) -> DataFrame:
+    """(seq, cand): pairs whose entries leave the similarity possible.
+
+    Both sides of a list are cut into pieces, and every pair of pieces is one
+    group, so no group has more than ``rows_per_piece`` rows a side. Common
+    entries are summed up exactly. All other common terms follow the earlier of
+    the two rows' cuts: they add at most that row's norm there times the other
+    row's norm after the last common entry, and the greater of both products
+    is a bound whichever cut is the earlier.
+    """
+    asked_pieces = F.ceil(F.col("rows") / rows_per_piece)
+    given_pieces = F.ceil(F.col("rows") * share / rows_per_piece)
+
+    def side(rows: DataFrame, prefix: str, own: str, own_pieces: Column, other: str, other_pieces: Column, *more: str) -> DataFrame:
+        return rows.select(
+            "term",
+            F.pmod(F.xxhash64("seq"), own_pieces).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), other_pieces - 1)).alias(other),
+            F.col("seq").alias(f"{prefix}_seq"),
+            *[F.col(c).alias(f"{prefix}_{c}") for c in ("weight", "rest", "cut", *more)],
+        )
+
+    q = side(asking, "q", "q_piece", asked_pieces, "c_piece", given_pieces, "before")
+    c = side(candidates, "c", "c_piece", given_pieces, "q_piece", asked_pieces)
+    met = q.join(c, ["term", "q_piece", "c_piece"]).filter("c_seq < q_before")
+    pairs = met.groupBy("q_seq", "c_seq").agg(
+        F.sum(F.expr("q_weight * c_weight")).alias("common"),
+        F.max(F.expr("q_rest * c_rest")).alias("first"),
+        F.max("q_cut").alias("q_cut"),
+        F.max("c_cut").alias("c_cut"),
+        F.min(F.expr("c_rest - c_weight * c_weight")).alias("c_after"),
+        F.min(F.expr("q_rest - q_weight * q_weight")).alias("q_after"),
+    )
+    left = F.sqrt(F.greatest(F.expr("q_cut * c_after"), F.expr("c_cut * q_after"), F.lit(0.0)))
+    possible = (F.col("first") >= similarity * similarity - SLACK) & (F.col("common") + left >= similarity - SLACK)
+    return pairs.filter(possible).select(F.col("q_seq").alias("seq"), F.col("c_seq").alias("cand"))
 
 
 def sparse_matches(
@@ -180,48 +225,39 @@ def sparse_matches(
 ) -> DataFrame:
     """(seq, match_seq) for distinct sparse unit vectors (seq, query, vec)."""
     similarity = 1.0 - threshold
-    needed = similarity * similarity - SLACK
-    live = _rare_first_lists(vectors, needed, staging)
+    live = _rare_first_lists(vectors, similarity * similarity - SLACK, staging)
     asking = live.filter("query")
 
-    # The earliest row of each list.
-    leaders = staging.table(
-        asking.filter((F.col("first_seq") < F.col("seq")) & (F.col("rest") * F.col("first_rest") >= needed))
-        .select("seq", F.col("first_seq").alias("cand"))
-        .distinct(),
-        "leaders",
-    )
+    # The row that begins most of a row's lists, by weight: one candidate each.
+    led = asking.filter("first_seq < seq").groupBy("seq", "first_seq").agg(F.sum(F.expr("weight * first_weight")).alias("common"))
+    best = F.max_by("first_seq", F.struct("common", -F.col("first_seq"))).alias("cand")
+    leaders = staging.table(led.groupBy("seq").agg(best), "leaders")
     settled = staging.table(_confirm(leaders, vectors, threshold), "settled")
 
-    # The other rows of each list in rounds. A row's place in a list is drawn
-    # from a hash, so a round is a fair sample; a row that found its match
-    # takes no part in the next, larger round.
-    place = F.pmod(F.xxhash64(F.lit(2), F.col("seq")), F.lit(1 << 30)) / (1 << 30) * F.col("rows")
-    others = live.filter(F.col("seq") != F.col("first_seq")).withColumn("place", place)
+    # Rounds. For flags the candidates are samples by a hash, and a row that has
+    # a match is done. For the earliest match they are ranges of rising seq: a
+    # row is done once its match lies before the range, and so is a list that
+    # begins after the match.
     largest = live.agg(F.max("rows")).first()[0] or 0
-    for low, high in _rounds(largest, first_round):
+    shares = _shares(largest, first_round)
+    if first_match:
+        ends = live.agg(F.percentile_approx("seq", F.array(*[F.lit(x) for x in shares]), F.lit(100_000))).first()[0] or shares
+        bounds, place = [*ends[:-1], None], F.col("seq")
+    else:
+        bounds, place = [*shares[:-1], None], F.pmod(F.xxhash64(F.lit(2), F.col("seq")), F.lit(1 << 30)) / (1 << 30)
+    low = None
+    for share, high in zip(shares, bounds):
         if first_match:
-            open_rows = asking.join(settled, "seq", "left")
+            open_rows = asking.join(settled, "seq", "left").withColumn("before", F.coalesce("match_seq", "seq")).drop("match_seq")
+            if low is not None:
+                open_rows = open_rows.filter(F.col("before") > low)
         else:
-            open_rows = asking.join(settled, "seq", "left_anti").withColumn("match_seq", F.lit(None).cast("bigint"))
-        expected = F.col("rows") if high is None else F.least("rows", F.lit(high))
-        pieces = F.ceil(expected / rows_per_piece)
-        q = open_rows.filter(F.col("rows") > low).select(
-            "term",
-            "seq",
-            "match_seq",
-            F.col("rest").alias("q_rest"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece"),
-        )
-        within = F.col("place") >= low if high is None else (F.col("place") >= low) & (F.col("place") < high)
-        c = others.filter(within).select(
-            "term",
-            F.col("seq").alias("cand"),
-            F.col("rest").alias("c_rest"),
-            F.pmod(F.xxhash64("seq"), pieces).alias("piece"),
-        )
-        possible = (F.col("cand") < F.coalesce("match_seq", "seq")) & (F.col("q_rest") * F.col("c_rest") >= needed)
-        pairs = staging.table(q.join(c, ["term", "piece"]).filter(possible).select("seq", "cand").distinct(), "pairs")
+            open_rows = asking.join(settled, "seq", "left_anti").withColumn("before", F.col("seq"))
+        open_rows = open_rows.filter("first_seq < before")
+        given = live if low is None else live.filter(place >= low)
+        given = given if high is None else given.filter(place < high)
+        pairs = staging.table(_possible_pairs(open_rows, given, share, similarity, rows_per_piece), "pairs")
+        low = high
         if not pairs.isEmpty():
             both = settled.unionByName(_confirm(pairs, vectors, threshold))
             settled = staging.table(both.groupBy("seq").agg(F.min("match_seq").alias("match_seq")), "settled")

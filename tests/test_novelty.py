@@ -76,6 +76,66 @@ def test_sparse_join_equals_brute_force(spark, monkeypatch, ngram, threshold, st
     assert {r["seq"] for r in flags if r["novelty_label"] == "Low"} == set(expected)
 
 
+def near_copies(n, seed=5):
+    """Copies of one text with a few changed words each, behind some texts that share its words."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(base, 12) + [f"o{i}{k}" for k in range(30)]) for i in range(20)]
+    for i in range(n):
+        text = list(base)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(60)] = f"c{rng.randrange(n)}"
+        texts.append(" ".join(text))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("first_match", [True, False])
+def test_near_copies_cost_about_their_number(spark, monkeypatch, first_match):
+    """The pairs that meet, and the pairs whose vectors travel, grow with a group of near copies, not with its square."""
+    counted = {"met": 0, "confirmed": 0}
+    possible, confirm = novelty._possible_pairs, novelty._confirm
+
+    def count_met(asking, given, *rest):
+        pairs = asking.select("term", "seq", "before").join(given.select("term", F.col("seq").alias("cand")), "term")
+        counted["met"] += pairs.filter("cand < before").count()
+        return possible(asking, given, *rest)
+
+    def count_confirmed(pairs, *rest):
+        counted["confirmed"] += pairs.count()
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(novelty, "_possible_pairs", count_met)
+    monkeypatch.setattr(novelty, "_confirm", count_confirmed)
+    each = []
+    for n in (250, 2000):
+        counted.update(met=0, confirmed=0)
+        rows = spark.createDataFrame(near_copies(n), "seq long, text string").withColumn("embedding", term_vector(F.col("text"), ngram=1))
+        found = flag_redundant(rows, threshold=0.2, first_match=first_match)
+        assert found.filter("is_redundant").count() >= n - 10
+        each.append((counted["met"] / n, counted["confirmed"] / n))
+    assert each[1][0] <= 1.5 * each[0][0] + 1 and each[1][1] <= 1.5 * each[0][1] + 1
+
+
+def test_accidental_pairs_move_no_vectors(spark, monkeypatch):
+    """Texts that share a few words but are far apart are dropped by their common entries alone."""
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(400)]
+    rows = spark.createDataFrame([(i, " ".join(rng.sample(vocabulary, 50))) for i in range(300)], "seq long, text string")
+    met, confirmed = [], []
+    possible, confirm = novelty._possible_pairs, novelty._confirm
+
+    def count_met(asking, given, *rest):
+        pairs = asking.select("term", "seq", "before").join(given.select("term", F.col("seq").alias("cand")), "term")
+        met.append(pairs.filter("cand < before").select("seq", "cand").distinct().count())
+        return possible(asking, given, *rest)
+
+    monkeypatch.setattr(novelty, "_possible_pairs", count_met)
+    monkeypatch.setattr(novelty, "_confirm", lambda pairs, *rest: confirmed.append(pairs.count()) or confirm(pairs, *rest))
+    flagged = flag_redundant(rows.withColumn("embedding", term_vector(F.col("text"), ngram=1)), threshold=0.2)
+    assert flagged.filter("is_redundant").isEmpty()
+    assert sum(met) > 2000 and sum(confirmed[1:]) < 0.02 * sum(met)
+
+
 def make_vectors(n=300, dim=8, seed=0):
     rng = np.random.default_rng(seed)
     rows = rng.normal(size=(n, dim)).astype(np.float32)
