@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsflow.functions.lexicon import Lexicon
 from newsflow.operators.articles import with_full_text
 from newsflow.schemas import FEED_ITEM
-from newsflow.sources.tables import read_table
+from newsflow.sources.tables import read_table, spread
 
 LEXICON = Lexicon(names=("apache", "license"), tickers=("MIT",))
 DICTIONARY = {"APACHE": "asset_apache", "LICENSE": "asset_license", "MIT": "asset_mit"}
@@ -22,8 +22,9 @@ TEXT_DISTANCE = 0.2
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     """documents as articles: the first line is the title."""
+    rows = read_table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
     return with_full_text(
-        read_table(spark, folder, "documents").select(
+        spread(rows, "doc_id").select(
             "doc_id",
             F.substring_index("text", "\n", 1).alias("title"),
             F.col("text").alias("full_body"),
@@ -35,6 +36,11 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text) for queries that work on every character."""
+    return spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("seq"), "embedding", "label")
 
@@ -64,7 +70,7 @@ def keyed_items(spark: SparkSession, folder: str) -> DataFrame:
     guid = F.concat_ws("-", "user_id", "event_type", number)
     url = F.concat(F.lit("https://N.example/"), F.col("user_id"), F.lit("/"), number, F.lit("/?utm_source="), F.col("event_type"))
     return _items(
-        read_table(spark, folder, "events"),
+        spread(read_table(spark, folder, "events"), "event_id"),
         snapshot_id=F.date_format("ts", "yyyy-MM-dd"),
         feed_pos=F.col("event_id"),
         guid=F.when(error, "").otherwise(guid),

@@ -14,7 +14,7 @@ from newsflow.plans.ingest import ingest
 from newsflow.plans.news import process_articles, three_word_vector
 from newsflow.schemas import FEED_XML_ITEM
 from newsflow.sources.stores import ArticleStore, SnapshotStore
-from newsflow.sources.tables import read_table
+from newsflow.sources.tables import read_table, spread
 from newsflow.streaming import jobs
 
 QUERIES = {}
@@ -74,13 +74,13 @@ def strip_text(spark, folder):
 @query
 def line_split(spark, folder):
     lines = text.split_lines(F.col("text"))
-    return read_table(spark, folder, "documents").select("doc_id", F.posexplode(lines).alias("line_no", "line"))
+    return inputs.documents(spark, folder).select("doc_id", F.posexplode(lines).alias("line_no", "line"))
 
 
 @query
 def line_dedup(spark, folder):
     kept = text.drop_repeated_lines(text.split_lines(F.col("text")))
-    return read_table(spark, folder, "documents").select("doc_id", F.array_join(kept, "\n").alias("kept"))
+    return inputs.documents(spark, folder).select("doc_id", F.array_join(kept, "\n").alias("kept"))
 
 
 @query
@@ -92,7 +92,7 @@ def pagination_cut(spark, folder):
 @query
 def clean_body(spark, folder):
     tailed = F.concat(F.col("text"), F.lit(PAGE_TAIL))
-    return read_table(spark, folder, "documents").select("doc_id", text.clean_body(tailed).alias("full_body"))
+    return inputs.documents(spark, folder).select("doc_id", text.clean_body(tailed).alias("full_body"))
 
 
 # Urls, keys, snapshots
@@ -179,7 +179,7 @@ def item_page_join(spark, folder):
 
 @query
 def page_main_text(spark, folder):
-    return read_table(spark, folder, "pages").select("page_id", html.main_text(F.col("html")).alias("main_text"))
+    return spread(read_table(spark, folder, "pages").select("page_id", "html"), "page_id").select("page_id", html.main_text(F.col("html")).alias("main_text"))
 
 
 def _scraped(spark, folder):
@@ -219,7 +219,7 @@ def ingest_articles(spark, folder):
 @query
 def embed_text(spark, folder):
     vector = vectors.term_vector(F.col("text"), dim=4096)
-    exploded = read_table(spark, folder, "documents").select("doc_id", F.explode(vector).alias("t"))
+    exploded = inputs.documents(spark, folder).select("doc_id", F.explode(vector).alias("t"))
     return exploded.select("doc_id", F.col("t.term").alias("bucket"), F.round("t.weight", 6).alias("weight"))
 
 
