@@ -15,6 +15,9 @@ LEXICON = Lexicon(names=("apache", "license"), tickers=("MIT",))
 DICTIONARY = {"APACHE": "asset_apache", "LICENSE": "asset_license", "MIT": "asset_mit"}
 EVENT_DICTIONARY = {"CLICK": "asset_click", "VIEW": "asset_view", "ERROR": "asset_error", "PURCHASE": "asset_order"}
 PAGE_TAIL = " - 1 - 2 - 3 tail"
+# Parts planted into pages.
+PLANTED_TABLE = '<table><tr><td>a<TABLE x="1"><td>b</td></TABLE>c<table>d</table></td></tr></table><nav>e<nav>f</nav>g</nav>'
+PLANTED_REFERENCES = "<p>&#38;lt;b&#38;gt; &eacute;&trade;&#x41; &amp;amp; &unknown; &#0; &</p>"
 # No pair of the given vectors or texts is within 1e-6 of these distances.
 VECTOR_DISTANCE = 0.7
 TEXT_DISTANCE = 0.2

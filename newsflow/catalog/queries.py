@@ -182,6 +182,14 @@ def page_main_text(spark, folder):
     return spread(read_table(spark, folder, "pages").select("page_id", "html"), "page_id").select("page_id", html.main_text(F.col("html")).alias("main_text"))
 
 
+@query
+def page_planted_parts(spark, folder):
+    """Main text of pages with nested tables and character references planted at the head of their article."""
+    rows = spread(read_table(spark, folder, "pages").select("page_id", "html"), "page_id")
+    planted = F.replace("html", F.lit("<article>"), F.lit("<article>" + inputs.PLANTED_TABLE + inputs.PLANTED_REFERENCES))
+    return rows.select("page_id", html.main_text(planted).alias("main_text"))
+
+
 def _scraped(spark, folder):
     joined = pages.item_page_join(inputs.page_items(spark, folder), read_table(spark, folder, "pages"))
     return pages.with_scrape_status(joined)

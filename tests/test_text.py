@@ -1,7 +1,7 @@
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from newsflow.functions import text
+from newsflow.functions import html, text
 
 QUIET = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 PIECES = st.sampled_from(
@@ -51,8 +51,6 @@ def test_body_fallback(spark):
 
 
 def test_character_references(one):
-    from newsflow.functions import html
-
     table = {
         "It&#8217;s &mdash; ok &#x27;x&#x27;": "It’s — ok 'x'",
         "&amp;#39; &#0; &#xD800; &#; &#12": "&#39; &#0; &#xD800; &#; &#12",
@@ -70,3 +68,30 @@ def test_items_stay_single_when_pages_repeat(spark):
     got = {r["feed_pos"]: r["html"] for r in item_page_join(items, pages, landed="at").collect()}
     assert got == {1: "new", 2: None, 3: None}
     assert item_page_join(items, pages).count() == 3
+
+
+def test_nested_parts_are_dropped_whole(one):
+    table = {
+        "a<table>b<table>c</table>d</table>e": "ae",
+        "a<TABLE x='1'>b<nav>c</nav></table >e": "ae",
+        "a<table>b": "ab",
+        "a</table>b": "ab",
+        "a<table>b<table>c</table>d": "abd",
+        "<nav>x<table>y</nav>z</table>w": "zw",
+        "<header>h</header><tablet>t</tablet>": "ht",
+        "<footer>" * 60 + "x" + "</footer>" * 60 + "y": "y",
+        "": "",
+    }
+    assert one(html.main_text, list(table)) == list(table.values())
+
+
+def test_references_are_resolved_once(one):
+    table = {
+        "&#38;lt;b&#38;gt;": "&lt;b&gt;",
+        "&amp;amp; &#38;amp;": "&amp; &amp;",
+        "&eacute;&trade;&apos;&nbsp;x": "\u00e9\u2122'\xa0x",
+        "&#x1F600;&#128512;": "\U0001f600\U0001f600",
+        "&#55296; &#0; &#9999999; &nosuch; & &; &amp": "&#55296; &#0; &#9999999; &nosuch; & &; &amp",
+        "&&lt;&": "&<&",
+    }
+    assert one(html.decode_references, list(table)) == list(table.values())
