@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsflow.functions.lexicon import Lexicon
 from newsflow.operators.articles import with_full_text
+from newsflow.operators.staging import Staging
 from newsflow.schemas import FEED_ITEM
 from newsflow.sources.tables import read_table, spread
 
@@ -18,6 +19,9 @@ PAGE_TAIL = " - 1 - 2 - 3 tail"
 # Parts planted into pages.
 PLANTED_TABLE = '<table><tr><td>a<TABLE x="1"><td>b</td></TABLE>c<table>d</table></td></tr></table><nav>e<nav>f</nav>g</nav>'
 PLANTED_REFERENCES = "<p>&#38;lt;b&#38;gt; &eacute;&trade;&#x41; &amp;amp; &unknown; &#0; &</p>"
+# Groups of days that land one after the other.
+LANDINGS = 11
+FEED_FILE_ITEMS = 50
 # No pair of the given vectors or texts is within 1e-6 of these distances.
 VECTOR_DISTANCE = 0.7
 TEXT_DISTANCE = 0.2
@@ -93,6 +97,33 @@ def page_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def titled_page_items(spark: SparkSession, folder: str, run: int) -> DataFrame:
+    """page_items with titles: run 0 has the even ones, run 1 all. Every fifth has no title, every third names an asset."""
+    number = F.col("feed_pos")
+    named = F.when(number % 3 == 0, F.concat(F.lit("apache "), number)).otherwise(F.concat(F.lit("page "), number))
+    items = page_items(spark, folder).withColumn("title", F.when(number % 5 != 0, named))
+    items = items.withColumn("snapshot_id", F.lit(f"run {run}"))
+    return items if run else items.filter(number % 2 == 0)
+
+
+def landed_feed(spark: SparkSession, folder: str) -> str:
+    """pages as feed files of ``FEED_FILE_ITEMS`` items each; the pattern of their paths."""
+    root = f"{Staging(spark).root}/feeds"
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    number = F.floor(F.col("page_id") / FEED_FILE_ITEMS).alias("snapshot")
+    item = F.concat(
+        F.lit("<item><title>Page "), "page_id", F.lit(" &amp; more</title><link> "), F.replace("url", F.lit("&"), F.lit("&amp;")),
+        F.lit("</link><guid>page-"), "page_id", F.lit("</guid><pubDate>Mon, 05 Jan 2026 10:20:30 +0000</pubDate></item>"),
+    )
+    lines = pages.select(number, F.col("page_id").alias("pos"), item.alias("line"))
+    files = pages.select(number).distinct()
+    head = files.select("snapshot", F.lit(-1).cast("bigint").alias("pos"), F.lit("<rss><channel><title>c</title>").alias("line"))
+    tail = files.select("snapshot", F.lit((1 << 63) - 1).alias("pos"), F.lit("</channel></rss>").alias("line"))
+    lines = lines.unionByName(head).unionByName(tail).repartition("snapshot").sortWithinPartitions("snapshot", "pos")
+    lines.select("snapshot", "line").write.partitionBy("snapshot").text(root)
+    return f"{root}/*/*.txt"
+
+
 def page_history(spark: SparkSession, folder: str) -> DataFrame:
     """labels as the previous snapshot of page_items."""
     return _items(

@@ -11,11 +11,14 @@ from newsflow.operators import feed, incremental, novelty, pages, reports
 from newsflow.operators.ids import dense_ids
 from newsflow.operators.staging import Staging
 from newsflow.plans.ingest import ingest
+from newsflow.plans.job import NewsJob
 from newsflow.plans.news import process_articles, three_word_vector
-from newsflow.schemas import FEED_XML_ITEM
+from newsflow.schemas import FEED_ITEM, FEED_XML_ITEM
+from newsflow.sources.feeds import feed_step, read_feed, stream_feed
 from newsflow.sources.stores import ArticleStore, SnapshotStore
 from newsflow.sources.tables import read_table, spread
 from newsflow.streaming import jobs
+from newsflow.streaming.snapshots import SnapshotLog
 
 QUERIES = {}
 
@@ -409,14 +412,54 @@ def disposition_report(spark, folder):
 
 @query
 def stream_snapshot_diff(spark, folder):
-    """Daily snapshots landed as files, read as a stream."""
+    """Daily snapshots landed in two halves, each half of a group of days a micro-batch after the other."""
     staging = Staging(spark)
-    landed = staging.table(inputs.daily_items(spark, folder), "landed")
-    stream = spark.readStream.schema(landed.schema).parquet(f"{staging.root}/landed-*")
-    output = SnapshotStore(spark, f"{staging.root}/output")
-    state = SnapshotStore(spark, f"{staging.root}/state")
-    jobs.start(stream, jobs.snapshot_step(output, state), f"{staging.root}/progress").awaitTermination()
-    return output.read().select("snapshot_id", "feed_pos", "guid")
+    items = inputs.daily_items(spark, folder)
+    numbers = incremental.number_snapshots(items, staging)
+    days = numbers.agg(F.max("snapshot_no")).first()[0] or 1
+    group = F.floor((F.col("snapshot_no") - 1) * inputs.LANDINGS / days) + F.col("feed_pos") % 2
+    grouped = staging.table(items.join(numbers, "snapshot_id").withColumn("landing", group), "grouped")
+    log = SnapshotLog(spark, f"{staging.root}/log")
+    stream = spark.readStream.schema(FEED_ITEM).parquet(f"{staging.root}/landed/*")
+    for landing in range(inputs.LANDINGS + 1):
+        grouped.filter(F.col("landing") == landing).select(*FEED_ITEM.names).write.parquet(f"{staging.root}/landed/{landing}")
+        jobs.start(stream, jobs.snapshot_step(log), f"{staging.root}/progress").awaitTermination()
+    return log.new_items().select("snapshot_id", "feed_pos", "guid")
+
+
+def _read_items(items: DataFrame) -> DataFrame:
+    number = F.regexp_extract("snapshot_id", "snapshot=([0-9]+)", 1).cast("bigint")
+    return items.select(number.alias("snapshot_no"), "feed_pos", "guid", "title", "url", "published_at")
+
+
+@query
+def feed_files(spark, folder):
+    """pages written as feed files and read again."""
+    return _read_items(read_feed(spark, inputs.landed_feed(spark, folder), "pages"))
+
+
+@query
+def stream_feed_files(spark, folder):
+    """The same files as a stream, some per micro-batch."""
+    output = SnapshotStore(spark, f"{Staging(spark).root}/items")
+    entries = stream_feed(spark, inputs.landed_feed(spark, folder), files_per_batch=16)
+    jobs.start(entries, feed_step("pages", output.write), f"{output.path}-progress").awaitTermination()
+    return _read_items(output.read())
+
+
+@query
+def pipeline_end_to_end(spark, folder):
+    """Two runs of the complete job, the second over all items; what became of each new item."""
+    pages = read_table(spark, folder, "pages")
+    job = NewsJob(
+        spark, f"{Staging(spark).root}/job", lambda: pages, limit=None, lexicon=LEXICON, dictionary=DICTIONARY,
+        extra_names=(), threshold=TEXT_DISTANCE, scraped_at="2024-01-01",
+    )
+    for run in (0, 1):
+        job.run(inputs.titled_page_items(spark, folder, run), run)
+    kept = job.articles().select("id", "title", "url", F.col("novelty_label").alias("outcome"))
+    refused = job.rejected().select(F.lit(None).cast("bigint").alias("id"), "title", "url", F.col("reason").alias("outcome"))
+    return kept.unionByName(refused)
 
 
 @query

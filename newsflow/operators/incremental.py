@@ -60,6 +60,19 @@ def previous_snapshots(items: DataFrame, staging: Staging | None = None) -> Data
     return numbered.join(before, "snapshot_no", "left").select("snapshot_id", "previous_id")
 
 
+def numbered_diff(items: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """Of items with ``snapshot_no``, those whose keys the snapshot with the number before does not hold.
+
+    An item that left and comes back is new again. All snapshots are compared
+    in one pass: a key of snapshot n is looked up among the keys of n - 1.
+    """
+    staging = staging_for(items, staging)
+    keys = items.select(*ITEM_ID, "snapshot_no", guid_key(F.col("guid")).alias("_guid"), url_key(F.col("url")).alias("_url"))
+    keys = staging.table(keys, "numbered")
+    following = (F.col("snapshot_no") + 1).alias("snapshot_no")
+    return _unseen(items, keys, keys.select("_guid", following), keys.select("_url", following), ["snapshot_no"])
+
+
 def snapshot_diff(items: DataFrame, staging: Staging | None = None) -> DataFrame:
     """Of every snapshot, the items that are not in the snapshot before it.
 

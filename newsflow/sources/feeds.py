@@ -1,6 +1,6 @@
 """Landed feed files, pages and JSON batches."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from newsflow.functions.text import strip
 from newsflow.operators.feed import project_items
@@ -8,22 +8,41 @@ from newsflow.schemas import FEED_ITEM, FEED_XML_ITEM, INCOMING_ARTICLE, LANDED_
 from newsflow.sources.files import exists
 
 
+def _entries(reader, path: str) -> DataFrame:
+    """Entries of feed files with the full path of their file as ``snapshot_id``.
+
+    Files of one name in different folders are different snapshots. A file is
+    read whole by one task.
+    """
+    entries = reader.format("xml").option("rowTag", "item").option("multiLine", True).schema(FEED_XML_ITEM).load(path)
+    return entries.withColumn("snapshot_id", F.col("_metadata.file_path"))
+
+
+def feed_items(entries: DataFrame, source: str, fetched_at=None) -> DataFrame:
+    """Feed items of entries that lie in the order of their files; positions begin at 0 in each file."""
+    at = F.monotonically_increasing_id()
+    first = F.min("feed_at").over(Window.partitionBy("snapshot_id"))
+    placed = entries.withColumn("feed_at", at).withColumn("feed_pos", F.col("feed_at") - first)
+    return project_items(placed, source, fetched_at)
+
+
 def read_feed(spark: SparkSession, path: str, source: str, fetched_at=None) -> DataFrame:
-    """Feed items of landed RSS files; one file is one snapshot, named by the file.
+    """Feed items of landed RSS files; one file is one snapshot, named by its full path."""
+    return feed_items(_entries(spark.read, path), source, fetched_at)
+
+
+def stream_feed(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Landed RSS files as a stream of entries; ``feed_step`` turns a micro-batch into items.
 
-    A file is read whole by one task, so the reader's row order is the order
-    in the feed.
+    A file is in one micro-batch as a whole, so positions are given there.
     """
-    entries = (
-        spark.read.format("xml")
-        .option("rowTag", "item")
-        .option("multiLine", True)
-        .schema(FEED_XML_ITEM)
-        .load(path)
-        .withColumn("snapshot_id", F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1))
-        .withColumn("feed_pos", F.monotonically_increasing_id())
-    )
-    return project_items(entries, source, fetched_at)
+    reader = spark.readStream
+    return _entries(reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch), path)
+
+
+def feed_step(source: str, step, fetched_at=None):
+    """``step`` over the feed items of each micro-batch of ``stream_feed``."""
+    return lambda batch, batch_id: step(feed_items(batch, source, fetched_at), batch_id)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = FEED_ITEM) -> DataFrame:

@@ -4,12 +4,13 @@ Each micro-batch reads the state of the batches before it and replaces its own
 output and state, so a replayed batch gives the same tables again.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from newsflow.operators.incremental import snapshot_diff
 from newsflow.operators.staging import Staging
+from newsflow.plans.job import NewsJob
 from newsflow.plans.news import process_articles
-from newsflow.sources.stores import ArticleStore, BatchStore, SnapshotStore
+from newsflow.sources.stores import ArticleStore
+from newsflow.streaming.snapshots import SnapshotLog
 
 
 def start(stream: DataFrame, step, checkpoint: str, processing_time: str | None = None):
@@ -18,25 +19,17 @@ def start(stream: DataFrame, step, checkpoint: str, processing_time: str | None
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def snapshot_step(output: BatchStore, state: SnapshotStore):
-    """New items against the previous snapshot.
+def snapshot_step(log: SnapshotLog):
+    """New items against the snapshot before, whatever parts of snapshots a micro-batch holds."""
+    return log.add
 
-    A micro-batch holds one or more whole snapshots. The last one becomes the
-    state, written after the output, so a failed batch leaves the old state.
-    """
+
+def job_step(job: NewsJob):
+    """The complete job, from feed items to the article table, for each micro-batch."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        staging = Staging(batch.sparkSession)
-        current = staging.table(batch, "current")
-        if current.isEmpty():
-            return
-        history = state.latest(before=batch_id)
-        both = current.withColumn("_current", F.lit(True)).unionByName(history.withColumn("_current", F.lit(False)))
-        fresh = snapshot_diff(both, staging).filter("_current").drop("_current")
-        output.write(fresh, batch_id)
-        newest = current.agg(F.max("snapshot_id").alias("snapshot_id"))
-        state.write(current.join(F.broadcast(newest), "snapshot_id"), batch_id)
-        staging.drop()
+        if not batch.isEmpty():
+            job.run(batch, batch_id)
 
     return step
 
@@ -46,8 +39,10 @@ def news_step(articles: ArticleStore, **options):
 
     def step(batch: DataFrame, batch_id: int) -> None:
         staging = Staging(batch.sparkSession)
-        stored = articles.read(articles.before(batch_id))
-        articles.write(process_articles(batch, stored, staging=staging, **options), batch_id)
-        staging.drop()
+        try:
+            stored = articles.read(articles.before(batch_id))
+            articles.write(process_articles(batch, stored, staging=staging, **options), batch_id)
+        finally:
+            staging.drop()
 
     return step

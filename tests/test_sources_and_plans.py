@@ -12,12 +12,15 @@ from newsflow.operators import feed, incremental, pages, reports, skew
 from newsflow.operators.entities import dictionary_table, embed_with, link_entities, tag_with
 from newsflow.operators.ids import dense_ids
 from newsflow.operators.staging import SETTING, Staging, shared_folder
+from newsflow.plans import job as job_module
 from newsflow.plans.ingest import ingest
+from newsflow.plans.job import NewsJob
 from newsflow.plans.news import detect_novelty, process_articles
 from newsflow.schemas import DENSE_VECTOR, FEED_ITEM, INCOMING_ARTICLE
-from newsflow.sources.feeds import read_batch, read_feed, read_pages, read_snapshot
+from newsflow.sources.feeds import feed_step, read_batch, read_feed, read_pages, read_snapshot, stream_feed
 from newsflow.sources.stores import ArticleStore, SnapshotStore
 from newsflow.streaming import jobs
+from newsflow.streaming.snapshots import SnapshotLog
 
 FEED = """<?xml version="1.0" encoding="UTF-8"?><rss><channel><title>c</title>
 <item><title> First &amp; one </title><link> https://n.org/a?utm_source=x </link><guid isPermaLink="false">g1</guid>
@@ -40,7 +43,8 @@ def items(spark, rows, snapshot="s"):
 def test_read_feed(spark, tmp_path):
     (tmp_path / "run1.xml").write_text(FEED)
     rows = read_feed(spark, str(tmp_path / "*.xml"), "Test").orderBy("feed_pos").collect()
-    assert [(r.snapshot_id, r.source, r.guid, r.title, r.rss_summary, r.url) for r in rows] == [
+    assert all(r.snapshot_id.endswith("/run1.xml") for r in rows) and [r.feed_pos for r in rows] == [0, 1, 2]
+    assert [("run1", r.source, r.guid, r.title, r.rss_summary, r.url) for r in rows] == [
         ("run1", "Test", "g1", "First & one", "sum", "https://n.org/a?utm_source=x"),
         ("run1", "Test", "https://n.org/b", "2025-01-01", "", "https://n.org/b"),
         ("run1", "Test", "", "no key", "", ""),
@@ -243,30 +247,156 @@ def land(frame, folder, number):
     frame.coalesce(1).write.parquet(str(folder / f"in/{number}"))
 
 
-def test_stream_of_snapshots(spark, tmp_path):
-    output, state = (SnapshotStore(spark, str(tmp_path / n)) for n in ("out", "state"))
-    step = jobs.snapshot_step(output, state)
-    snapshots = [["a", "b"], ["b", "c"], ["a", "c"], ["a"]]
+def streamed(spark, tmp_path, frame, number, log):
+    land(frame, tmp_path, number)
+    stream = spark.readStream.schema(FEED_ITEM).parquet(str(tmp_path / "in/*"))
+    jobs.start(stream, jobs.snapshot_step(log), str(tmp_path / "progress")).awaitTermination()
 
-    def run():
-        stream = spark.readStream.schema(FEED_ITEM).parquet(str(tmp_path / "in/*"))
-        jobs.start(stream, step, str(tmp_path / "progress")).awaitTermination()
 
+def found(log):
+    return sorted((r.snapshot_id, r.guid) for r in log.new_items().collect())
+
+
+def test_stream_of_snapshots(spark, tmp_path):
+    log = SnapshotLog(spark, str(tmp_path / "log"))
+    snapshots = [["a", "b"], ["b", "c"], ["a", "c"], ["a"]]
     for number, guids in enumerate(snapshots):
-        land(items(spark, [(g, "", f"s{number}") for g in guids]), tmp_path, number)
-        # The last two snapshots arrive together in one micro-batch.
-        if number != 2:
-            run()
-    run()
-    got = sorted((r.snapshot_id, r.guid) for r in output.read().collect())
+        if number < 2:
+            streamed(spark, tmp_path, items(spark, [(g, "", f"s{number}") for g in guids]), number, log)
+    # The last two snapshots arrive together in one micro-batch.
+    last = items(spark, [(g, "", f"s{n}") for n in (2, 3) for g in snapshots[n]])
+    streamed(spark, tmp_path, last, 2, log)
     # "a" left and came back, so it is new again.
-    assert got == [("s0", "a"), ("s0", "b"), ("s1", "c"), ("s2", "a")]
+    assert found(log) == [("s0", "a"), ("s0", "b"), ("s1", "c"), ("s2", "a")]
     whole = items(spark, [(g, "", f"s{n}") for n, guids in enumerate(snapshots) for g in guids])
-    assert sorted((r.snapshot_id, r.guid) for r in incremental.snapshot_diff(whole).collect()) == got
-    # A replayed batch reads the state before it and writes the same rows.
-    step(items(spark, [("b", "", "s1"), ("c", "", "s1")]), 1)
-    assert sorted((r.snapshot_id, r.guid) for r in output.read().collect()) == got
-    assert [r.guid for r in state.latest().collect()] == ["a"]
+    assert sorted((r.snapshot_id, r.guid) for r in incremental.snapshot_diff(whole).collect()) == found(log)
+    # A replayed micro-batch reads the register before it and writes the same rows.
+    log.add(items(spark, [("b", "", "s1"), ("c", "", "s1")]), 1)
+    assert found(log) == [("s0", "a"), ("s0", "b"), ("s1", "c"), ("s2", "a")]
+    assert [r.guid for r in log.latest().collect()] == ["a"]
+    log.add(items(spark, []), 3)
+    assert found(log) == [("s0", "a"), ("s0", "b"), ("s1", "c"), ("s2", "a")]
+
+
+def test_snapshots_in_parts(spark, tmp_path):
+    """Split, late and replayed parts end with the rows of whole snapshots."""
+    log = SnapshotLog(spark, str(tmp_path / "log"))
+
+    def part(snapshot, guids, at):
+        rows = [{"snapshot_id": snapshot, "feed_pos": at + i, "guid": g, "url": "", "title": g} for i, g in enumerate(guids)]
+        return spark.createDataFrame(rows, FEED_ITEM)
+
+    log.add(part("s0", ["a", "b"], 0), 0)
+    log.add(part("s1", ["a", "c"], 0), 1)
+    # Split: the second part of s1 is compared with s0 as the first was.
+    log.add(part("s1", ["b", "d"], 2), 2)
+    assert found(log) == [("s0", "a"), ("s0", "b"), ("s1", "c"), ("s1", "d")]
+    log.add(part("s2", ["d", "e", "f"], 0), 3)
+    assert found(log)[4:] == [("s2", "e"), ("s2", "f")]
+    # Late: a part of s1 arrives after s2, so "e" was not new there.
+    log.add(part("s1", ["e"], 4), 4)
+    assert found(log) == [("s0", "a"), ("s0", "b"), ("s1", "c"), ("s1", "d"), ("s1", "e"), ("s2", "f")]
+    # Replayed: the same micro-batch again, also when it failed before its register was written.
+    log.add(part("s1", ["e"], 4), 4)
+    assert found(log)[4:] == [("s1", "e"), ("s2", "f")]
+    write, log.register.write = log.register.write, lambda *_: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        log.add(part("s3", ["f", "g"], 0), 5)
+    log.register.write = write
+    assert found(log)[4:] == [("s1", "e"), ("s2", "f")]
+    log.add(part("s3", ["f", "g"], 0), 5)
+    assert found(log)[4:] == [("s1", "e"), ("s2", "f"), ("s3", "g")]
+    assert sorted(r.guid for r in log.latest().collect()) == ["f", "g"]
+
+
+def test_stream_of_feed_files(spark, tmp_path):
+    """Files of one name in two folders, read as a stream one by one, give the rows of a batch."""
+    for name in ("x/run.xml", "y/run.xml", "y/other.xml"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(FEED.replace("g1", name))
+    output = SnapshotStore(spark, str(tmp_path / "out"))
+    entries = stream_feed(spark, str(tmp_path / "*/*.xml"), files_per_batch=1)
+    jobs.start(entries, feed_step("Test", output.write, "2026-01-06"), str(tmp_path / "progress")).awaitTermination()
+    assert output.batches() == [0, 1, 2]
+    batch = read_feed(spark, str(tmp_path / "*/*.xml"), "Test", "2026-01-06")
+    assert sorted(map(tuple, output.read().collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
+    assert batch.select("snapshot_id").distinct().count() == 3 and batch.filter("feed_pos = 0").count() == 3
+
+
+def job_pages(spark, n):
+    rows = [(f"u{i}", HTML.format(f"{STORY} {'Bitcoin' if i % 3 else 'nothing'} {i // 4}"), 1) for i in range(n)]
+    rows += [("u1", HTML.format("Bitcoin, the page as it was crawled again"), 2)]
+    return spark.createDataFrame(rows, "url string, html string, landed_at int")
+
+
+def job_items(spark, numbers, snapshot):
+    rows = [
+        {"snapshot_id": snapshot, "feed_pos": i, "guid": f"g{i}", "url": f"u{i}", "title": None if i == 5 else f"title {i % 4}"}
+        for i in numbers
+    ]
+    return spark.createDataFrame(rows, FEED_ITEM)
+
+
+def job_rows(job):
+    articles = [(r.id, r.url, r.description, r.is_redundant) for r in job.articles().collect()]
+    return sorted(articles), sorted((r.url, r.reason) for r in job.rejected().collect()), sorted(r.guid for r in job.history().collect())
+
+
+def test_complete_job_in_batches_and_as_a_stream(spark, tmp_path):
+    table = job_pages(spark, 12)
+    jobs_of = [NewsJob(spark, str(tmp_path / n), lambda: table, landed="landed_at") for n in ("batch", "stream", "broken")]
+    runs = [job_items(spark, range(6), "s0"), job_items(spark, range(3, 12), "s1")]
+    for number, run in enumerate(runs):
+        jobs_of[0].run(run, number)
+        land(run, tmp_path, number)
+        stream = spark.readStream.schema(FEED_ITEM).parquet(str(tmp_path / "in/*"))
+        jobs.start(stream, jobs.job_step(jobs_of[1]), str(tmp_path / "progress")).awaitTermination()
+    articles, rejected, history = job_rows(jobs_of[0])
+    assert job_rows(jobs_of[1]) == (articles, rejected, history)
+    assert rejected == [("u5", "title is null")] and history == sorted(f"g{i}" for i in range(3, 12))
+    assert [a[0] for a in articles] == list(range(1, len(articles) + 1)) and {a[1] for a in articles} == {f"u{i}" for i in range(12) if i % 3 and i != 5}
+    assert next(a for a in articles if a[1] == "u1")[2] == "Bitcoin, the page as it was crawled again"
+    counts = [tuple(r) for r in jobs_of[0].summary().orderBy("rss_items").collect()]
+    assert counts == [(6, 6, 6, 0, 3, 1), (9, 6, 6, 0, 4, 0)]
+
+    # A run that fails before its manifest entry moves nothing; its repetition ends as an undisturbed one.
+    broken = jobs_of[2]
+    broken.run(runs[0], 0)
+    before = job_rows(broken)
+    write, broken.history_table.write = broken.history_table.write, lambda *_: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        broken.run(runs[1], 1)
+    assert job_rows(broken) == before
+    broken.history_table.write = write
+    broken.run(runs[1], 1)
+    assert job_rows(broken) == (articles, rejected, history)
+    with pytest.raises(ValueError):
+        broken.run(runs[0].limit(0), 2)
+    assert job_rows(broken) == (articles, rejected, history)
+
+
+def test_job_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """Stopped after some chunks of pages, a run makes only the missing articles and ends with the same rows."""
+    table = job_pages(spark, 12)
+    whole, stopped = (NewsJob(spark, str(tmp_path / n), lambda: table, chunks=3) for n in ("whole", "stopped"))
+    items_ = job_items(spark, range(12), "s0")
+    whole.run(items_, 0)
+    scraped, made = job_module.scrape, []
+
+    def counting(fresh, *rest):
+        if len(made) == 2:
+            raise RuntimeError("stopped")
+        made.append(fresh.count())
+        return scraped(fresh, *rest)
+
+    monkeypatch.setattr(job_module, "scrape", counting)
+    with pytest.raises(RuntimeError):
+        stopped.run(items_, 0)
+    assert stopped.articles().count() == 0 and 0 < sum(made) < 12
+    again = []
+    monkeypatch.setattr(job_module, "scrape", lambda fresh, *rest: again.append(fresh.count()) or scraped(fresh, *rest))
+    stopped.run(items_, 0)
+    assert sum(made) + sum(again) == 12 and job_rows(stopped) == job_rows(whole)
 
 
 def test_stream_of_articles(spark, tmp_path):
