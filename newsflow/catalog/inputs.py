@@ -4,7 +4,7 @@ The tables hold no crypto news, so lexicon and dictionary are parameters that
 occur in them; everything else is taken as it is, whole.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsflow.functions.lexicon import Lexicon
 from newsflow.operators.articles import with_full_text
@@ -22,6 +22,8 @@ PLANTED_REFERENCES = "<p>&#38;lt;b&#38;gt; &eacute;&trade;&#x41; &amp;amp; &unkn
 # Groups of days that land one after the other.
 LANDINGS = 11
 FEED_FILE_ITEMS = 50
+# Share of the redundant vectors that the approximate variant finds at least.
+LSH_RECALL = 0.95
 # No pair of the given vectors or texts is within 1e-6 of these distances.
 VECTOR_DISTANCE = 0.7
 TEXT_DISTANCE = 0.2
@@ -124,6 +126,26 @@ def landed_feed(spark: SparkSession, folder: str) -> str:
     return f"{root}/*/*.txt"
 
 
+def landed_json(spark: SparkSession, folder: str) -> str:
+    """pages as files with a JSON list of items each; the pattern of their paths."""
+    root = f"{Staging(spark).root}/snapshots"
+    number = F.floor(F.col("page_id") / FEED_FILE_ITEMS)
+    record = F.to_json(
+        F.struct(
+            F.concat(F.lit("day "), number).alias("snapshot_id"), F.col("page_id").alias("feed_pos"), "url",
+            F.concat(F.lit("page-"), "page_id").alias("guid"), F.substring("html", 1, 40).alias("title"),
+            F.array(F.lit("a"), F.col("page_id").cast("string")).alias("categories"), F.lit(1).alias("unknown"),
+        )
+    )
+    pages = read_table(spark, folder, "pages").select("page_id", number.alias("snapshot"), record.alias("record"))
+    first = F.min("page_id").over(Window.partitionBy("snapshot")) == F.col("page_id")
+    lines = pages.select("snapshot", F.col("page_id").alias("pos"), F.concat(F.when(first, "[").otherwise(","), "record").alias("line"))
+    end = pages.select("snapshot").distinct().select("snapshot", F.lit((1 << 63) - 1).alias("pos"), F.lit("]").alias("line"))
+    lines = lines.unionByName(end).repartition("snapshot").sortWithinPartitions("snapshot", "pos")
+    lines.select("snapshot", "line").write.partitionBy("snapshot").text(root)
+    return f"{root}/*/*.txt"
+
+
 def page_history(spark: SparkSession, folder: str) -> DataFrame:
     """labels as the previous snapshot of page_items."""
     return _items(

@@ -14,7 +14,7 @@ from newsflow.plans.ingest import ingest
 from newsflow.plans.job import NewsJob
 from newsflow.plans.news import process_articles, three_word_vector
 from newsflow.schemas import FEED_ITEM, FEED_XML_ITEM
-from newsflow.sources.feeds import feed_step, read_feed, stream_feed
+from newsflow.sources.feeds import feed_step, read_batch, read_feed, read_pages, read_snapshot, stream_feed
 from newsflow.sources.stores import ArticleStore, SnapshotStore
 from newsflow.sources.tables import read_table, spread
 from newsflow.streaming import jobs
@@ -291,6 +291,15 @@ def novelty_lsh(spark, folder):
     return flagged.select("seq", "is_redundant", "novelty_label")
 
 
+@query
+def novelty_lsh_recall(spark, folder):
+    """The approximate flags against the exact ones: none wrong, and the stated share found."""
+    rows = inputs.vectors(spark, folder)
+    exact = novelty.flag_redundant(rows, threshold=VECTOR_DISTANCE)
+    counts = novelty.measured_recall(novelty.flag_redundant_approx(rows, threshold=VECTOR_DISTANCE), exact)
+    return counts.select("exact", "wrong", (F.col("found") >= inputs.LSH_RECALL * F.col("exact")).alias("recall_reached"))
+
+
 # Entities
 
 
@@ -447,6 +456,64 @@ def stream_feed_files(spark, folder):
     return _read_items(output.read())
 
 
+@query
+def snapshot_files(spark, folder):
+    """pages written as JSON lists and read as snapshots; a missing file has no rows."""
+    pattern = inputs.landed_json(spark, folder)
+    rows = read_snapshot(spark, pattern).unionByName(read_snapshot(spark, f"{pattern}.missing"))
+    return rows.select("snapshot_id", "feed_pos", "guid", "url", F.md5("title").alias("title_md5"), F.array_join("categories", ",").alias("categories"))
+
+
+@query
+def batch_files(spark, folder):
+    """The same files read as a batch of scraped articles, whose absent columns are null."""
+    rows = read_batch(spark, inputs.landed_json(spark, folder))
+    return rows.select("guid", "url", F.coalesce("description", "full_body", F.lit("none")).alias("body"))
+
+
+@query
+def landed_pages(spark, folder):
+    return read_pages(spark, f"{folder}/pages.parquet").select("url", F.md5("html").alias("html_md5"))
+
+
+@query
+def required_items(spark, folder):
+    """Items of a feed that has usable ones."""
+    return feed.require_items(feed.usable_items(inputs.keyed_items(spark, folder))).select("feed_pos", "guid")
+
+
+@query
+def feed_dates(spark, folder):
+    """events as feed dates with a day name or without, in another zone, some malformed."""
+    at = F.date_format("ts", "d MMM yyyy HH:mm:ss")
+    number = F.col("event_id") % 4
+    raw = (
+        F.when(number == 0, F.concat(F.date_format("ts", "EEE, "), at, F.lit(" +0000")))
+        .when(number == 1, F.concat(at, F.lit(" +0200")))
+        .when(number == 2, F.concat(F.lit("Mon,"), at, F.lit(" -0330")))
+        .otherwise(F.concat(at, F.lit(" nowhere")))
+    )
+    return read_table(spark, folder, "events").select("event_id", F.unix_timestamp(feed.parsed_date(raw)).alias("seconds"))
+
+
+@query
+def article_reset(spark, folder):
+    """An article table after a reset holds what was written since, and its ids begin again."""
+    store = ArticleStore(spark, f"{Staging(spark).root}/articles")
+    rows = article_ops.with_defaults(inputs.articles(spark, folder).select("doc_id", "title", "source"))
+
+    def batch(part):
+        numbered = dense_ids(part, ["doc_id"], ArticleStore.next_id(store.read()))
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in store.schema.fields if f.name not in numbered.columns}
+        return numbered.withColumns(missing)
+
+    store.write(batch(rows.filter("doc_id % 2 = 0")), 0)
+    store.write(batch(rows.filter("doc_id % 2 = 1")), 1)
+    store.reset()
+    store.write(batch(rows.filter("doc_id % 3 = 0")), 0)
+    return store.read().select("id", "title", "is_redundant", "novelty_label")
+
+
 @query
 def pipeline_end_to_end(spark, folder):
     """Two runs of the complete job, the second over all items; what became of each new item."""

@@ -172,8 +172,12 @@ def dense_matches(
     return settled.unionByName(found).groupBy("seq").agg(F.min("match_seq").alias("match_seq"))
 
 
-def _signatures(planes: np.ndarray, tables: int, bits: int):
-    """Per row and table: the side of ``bits`` random planes, as a cell number."""
+def _signatures(planes: np.ndarray, tables: int, bits: int, probes: int):
+    """Per row and table: the side of ``bits`` random planes, as a cell number.
+
+    An asking row also visits the cells beyond the ``probes`` planes it lies
+    nearest to, one at a time: a near row on another side is most likely there.
+    """
     powers = 1 << np.arange(bits)
 
     def sign(batches):
@@ -182,29 +186,43 @@ def _signatures(planes: np.ndarray, tables: int, bits: int):
                 continue
             unit, usable = _unit(batch["vec"])
             batch, unit = batch[usable], unit[usable]
-            sides = (unit @ planes.T > 0).reshape(len(batch), tables, bits)
-            cell = (sides * powers).sum(axis=2) + (np.arange(tables) << bits)
-            out = batch.loc[batch.index.repeat(tables)]
-            yield out.assign(cell=cell.reshape(-1))[["cell", "seq", "query", "vec"]]
+            margins = (unit @ planes.T).reshape(len(batch), tables, bits)
+            own = ((margins > 0) * powers).sum(axis=2)
+            nearest = np.abs(margins).argsort(axis=2)[:, :, :probes]
+            cells = np.concatenate([own[:, :, None], own[:, :, None] ^ powers[nearest]], axis=2)
+            cells += (np.arange(tables) << bits)[None, :, None]
+            asking = batch["query"].to_numpy(dtype=bool)
+            visited = np.ones(cells.shape, bool)
+            visited[~asking, :, 1:] = False
+            row, table, probe = np.nonzero(visited)
+            out = batch.iloc[row]
+            yield out.assign(cell=cells[row, table, probe], own=probe == 0)[["cell", "seq", "query", "own", "vec"]]
 
     return sign
 
 
 def approximate_matches(
-    vectors: DataFrame, threshold: float, tables: int, bits: int, seed: int, staging: Staging, tile_rows: int = TILE_ROWS
+    vectors: DataFrame,
+    threshold: float,
+    tables: int,
+    bits: int,
+    seed: int,
+    staging: Staging,
+    probes: int = 2,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """(seq, match_seq) among rows that share a signature in at least one table."""
-    if not 0 < bits <= 14 or not 0 < tables <= 64:
-        raise ValueError("bits must be 1 to 14 and tables 1 to 64")
+    """(seq, match_seq) among rows that share a cell in at least one table, or lie in a cell that the other visits."""
+    if not 0 < bits <= 14 or not 0 < tables <= 64 or not 0 <= probes <= bits:
+        raise ValueError("bits must be 1 to 14, tables 1 to 64, probes 0 to bits")
     dim = vectors.select(F.max(F.size("vec"))).first()[0]
     if dim is None:
         return vectors.sparkSession.createDataFrame([], "seq bigint, match_seq bigint")
     planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
     signed = staging.table(
         vectors.mapInPandas(
-            _signatures(planes, tables, bits), "cell int, seq bigint, query boolean, vec array<float>"
+            _signatures(planes, tables, bits, probes), "cell int, seq bigint, query boolean, own boolean, vec array<float>"
         ),
         "signed",
     )
     queries = signed.filter("query").withColumn("bound", F.lit(None).cast("bigint"))
-    return _compare_in_tiles(queries, signed, threshold, tile_rows)
+    return _compare_in_tiles(queries, signed.filter("own"), threshold, tile_rows)

@@ -322,21 +322,34 @@ def flag_redundant_approx(
     tables: int = 16,
     bits: int = 6,
     seed: int = 42,
+    probes: int = 2,
     staging: Staging | None = None,
 ) -> DataFrame:
     """As ``flag_redundant`` for dense vectors, comparing only rows that share a hash.
 
     Pairs are decided by their real distance, so nothing is flagged wrongly;
-    a near pair that shares no hash is missed. More ``tables`` find more, more
-    ``bits`` compare less.
+    a near pair that shares no hash is missed. More ``tables`` and ``probes``
+    (neighbouring hashes that a row visits per table) find more, more ``bits``
+    compare less.
     """
     staging = staging_for(new, staging)
     new_rows, stored = _rows(new, corpus, vector, staging)
     groups, vectors = _collapse(new_rows, stored, False, False, staging)
-    matches = approximate_matches(vectors, threshold, tables, bits, seed, staging)
+    matches = approximate_matches(vectors, threshold, tables, bits, seed, staging, probes)
     return _flag(new, new_rows, groups, matches, False)
 
 
+def measured_recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row of (exact, found, wrong) counts of flags: what approximate flags hold of the exact ones, and what beyond."""
+    flags = lambda frame, name: frame.select("seq", F.col("is_redundant").alias(name))
+    both = flags(exact, "near").join(flags(approximate, "flagged"), "seq")
+    return both.agg(
+        F.count_if("near").alias("exact"),
+        F.count_if(F.col("near") & F.col("flagged")).alias("found"),
+        F.count_if(~F.col("near") & F.col("flagged")).alias("wrong"),
+    )
+
+
 def match_report(flagged: DataFrame, stored: DataFrame) -> DataFrame:
     """(seq, match_id, match_title): the matched article and the start of its title."""
     titles = stored.select(F.col("seq").alias("match_seq"), F.col("id").alias("match_id"), F.substring("title", 1, 40).alias("match_title"))
