@@ -22,6 +22,8 @@ PLANTED_REFERENCES = "<p>&#38;lt;b&#38;gt; &eacute;&trade;&#x41; &amp;amp; &unkn
 # Groups of days that land one after the other.
 LANDINGS = 11
 FEED_FILE_ITEMS = 50
+# Micro-batches into which the sources of documents are dealt in order.
+SOURCE_LANDINGS = 3
 # Share of the redundant vectors that the approximate variant finds at least.
 LSH_RECALL = 0.95
 # No pair of the given vectors or texts is within 1e-6 of these distances.

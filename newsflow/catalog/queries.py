@@ -15,7 +15,7 @@ from newsflow.plans.job import NewsJob
 from newsflow.plans.news import process_articles, three_word_vector
 from newsflow.schemas import FEED_ITEM, FEED_XML_ITEM
 from newsflow.sources.feeds import feed_step, read_batch, read_feed, read_pages, read_snapshot, stream_feed
-from newsflow.sources.stores import ArticleStore, SnapshotStore
+from newsflow.sources.stores import ArticleStore, PostingStore, SnapshotStore
 from newsflow.sources.tables import read_table, spread
 from newsflow.streaming import jobs
 from newsflow.streaming.snapshots import SnapshotLog
@@ -531,17 +531,23 @@ def pipeline_end_to_end(spark, folder):
 
 @query
 def stream_novelty(spark, folder):
-    """documents as a stream of articles into an article table."""
+    """documents landed source by source as a stream of articles into an article table with postings."""
     staging = Staging(spark)
-    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/documents*.parquet")
+    documents = read_table(spark, folder, "documents").select("doc_id", "text", "source")
+    sources = dense_ids(documents.select("source").distinct(), ["source"], staging=staging)
+    landing = F.least(F.col("id"), F.lit(inputs.SOURCE_LANDINGS)).alias("landing")
+    sources = sources.select(F.col("source").alias("s"), landing)
+    landed = documents.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    stream = spark.readStream.schema(documents.schema).parquet(f"{staging.root}/landed/*")
     incoming = stream.select(
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("full_body"),
         F.col("source").alias("snapshot_id"),
         F.col("doc_id").alias("feed_pos"),
     )
-    table = ArticleStore(spark, f"{staging.root}/articles")
-    step = jobs.news_step(table, lexicon=LEXICON, dictionary=DICTIONARY, extra_names=(), threshold=TEXT_DISTANCE)
-    jobs.start(incoming, step, f"{staging.root}/progress").awaitTermination()
+    table, postings = ArticleStore(spark, f"{staging.root}/articles"), PostingStore(spark, f"{staging.root}/postings")
+    step = jobs.news_step(table, postings, lexicon=LEXICON, dictionary=DICTIONARY, extra_names=(), threshold=TEXT_DISTANCE)
+    for number in range(1, inputs.SOURCE_LANDINGS + 1):
+        landed.filter(F.col("landing") == number).drop("landing").write.parquet(f"{staging.root}/landed/{number}")
+        jobs.start(incoming, step, f"{staging.root}/progress").awaitTermination()
     return _readable(table.read())

@@ -40,6 +40,7 @@ ROWS_PER_PIECE = 4096
 # Rows of the longest list that the first round takes.
 FIRST_ROUND = 16
 ROUND_GROWTH = 16
+POSTING_BUCKETS = 256
 
 
 def _rows(new, corpus, vector, staging):
@@ -83,7 +84,35 @@ def _sharing_terms(stored: DataFrame, new_rows: DataFrame) -> DataFrame:
     return shared.groupBy("seq", "is_new").agg(F.sort_array(F.collect_list("t")).alias("vec")).select("seq", "vec")
 
 
-def _collapse(new_rows, stored, sparse: bool, first_match: bool, staging: Staging):
+def posting_bucket(term: Column) -> Column:
+    """The partition of the posting table that holds a term."""
+    return F.pmod(F.xxhash64(F.lit(3), term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def postings_of(rows: DataFrame, seq: str = "id", vector: str = "embedding") -> DataFrame:
+    """(bucket, term, seq, weight, h1, h2): one row per term of each sparse vector, to be kept by bucket."""
+    own = F.col(vector)
+    each = rows.select(
+        F.col(seq).cast("bigint").alias("seq"), F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(1), own).alias("h2"), F.explode(own).alias("t")
+    )
+    return each.select(posting_bucket(F.col("t.term")).alias("bucket"), F.col("t.term").alias("term"), "seq", F.col("t.weight").alias("weight"), "h1", "h2")
+
+
+def _posted(postings: DataFrame, new_rows: DataFrame, staging: Staging) -> DataFrame:
+    """(seq, h1, h2, vec): stored rows that share a term with the new ones, cut down to such terms.
+
+    Only the buckets of the new rows' terms are opened; their numbers, at most
+    ``POSTING_BUCKETS``, are all that reaches the driver.
+    """
+    terms = new_rows.select(F.explode("vec").alias("t")).select("t.term").distinct()
+    asked = staging.table(terms.withColumn("bucket", posting_bucket(F.col("term"))), "asked")
+    opened = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+    hit = postings.filter(F.col("bucket").isin(opened)).join(asked, ["bucket", "term"], "left_semi")
+    vec = F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("vec")
+    return staging.table(hit.groupBy("seq", "h1", "h2").agg(vec), "posted")
+
+
+def _collapse(new_rows, stored, sparse: bool, first_match: bool, staging: Staging, postings=None):
     """Groups of equal vectors, and the earliest row of each group.
 
     A vector is recognised by two 64-bit hashes with different seeds. ``query``
@@ -95,6 +124,10 @@ def _collapse(new_rows, stored, sparse: bool, first_match: bool, staging: Stagin
     if stored is not None:
         hashes = hashes.unionByName(stored.select(*narrow))
         rows = rows.unionByName(_sharing_terms(stored, new_rows) if sparse else stored.select("seq", "vec"))
+    if postings is not None:
+        posted = _posted(postings, new_rows, staging).withColumn("is_new", F.lit(False))
+        hashes = hashes.unionByName(posted.select(*narrow))
+        rows = rows.unionByName(posted.select("seq", "vec"))
     groups = staging.table(
         hashes.groupBy("h1", "h2").agg(
             F.min("seq").alias("rep"),
@@ -295,18 +328,22 @@ def flag_redundant(
     vector: str = "embedding",
     first_match: bool = False,
     staging: Staging | None = None,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """``new`` with is_redundant and novelty_label; exact.
 
     With ``first_match`` it also gets ``match_seq``, the earliest stored row
-    within the threshold. A null or zero vector matches nothing.
+    within the threshold. A null or zero vector matches nothing. Stored sparse
+    vectors come as rows in ``corpus`` or as a table of ``postings_of`` them.
     """
     if not 0 < threshold < 1 and _is_sparse(new, vector) or not 0 < threshold <= 2:
         raise ValueError("threshold must be above 0, and below 1 for sparse vectors")
     staging = staging_for(new, staging)
     sparse = _is_sparse(new, vector)
+    if postings is not None and not sparse:
+        raise ValueError("postings hold sparse vectors")
     new_rows, stored = _rows(new, corpus, vector, staging)
-    groups, vectors = _collapse(new_rows, stored, sparse, first_match, staging)
+    groups, vectors = _collapse(new_rows, stored, sparse, first_match, staging, postings)
     if sparse:
         matches = sparse_matches(vectors, threshold, first_match, staging)
     else:

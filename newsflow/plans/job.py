@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from newsflow.operators.articles import rejected_rows
 from newsflow.operators.feed import FEED_LIMIT
 from newsflow.operators.incremental import ITEM_ID
+from newsflow.operators.novelty import postings_of
 from newsflow.operators.pages import successful
 from newsflow.operators.reports import run_summary
 from newsflow.operators.staging import Staging
 from newsflow.plans.ingest import new_items, scrape
 from newsflow.plans.news import process_articles
 from newsflow.schemas import SCRAPED_ARTICLE, SPARSE_VECTOR
-from newsflow.sources.stores import ArticleStore, BatchStore, SnapshotStore
+from newsflow.sources.stores import ArticleStore, BatchStore, PostingStore, SnapshotStore
 
 CHUNKS = 4
 _REJECTED = T.StructType(SCRAPED_ARTICLE.fields + [T.StructField("reason", T.StringType())])
@@ -48,6 +49,8 @@ class NewsJob:
         self.spark, self.path, self.pages = spark, path.rstrip("/"), pages
         self.limit, self.landed, self.chunks, self.scraped_at, self.options = limit, landed, chunks, scraped_at, options
         self.article_table = ArticleStore(spark, f"{self.path}/articles", vector)
+        # Dense vectors are compared with the article table itself.
+        self.postings = PostingStore(spark, f"{self.path}/postings") if vector == SPARSE_VECTOR else None
         self.rejected_table = BatchStore(spark, f"{self.path}/rejected", _REJECTED)
         self.history_table = SnapshotStore(spark, f"{self.path}/history")
         self.manifest = BatchStore(spark, f"{self.path}/manifest", _MANIFEST)
@@ -78,8 +81,13 @@ class NewsJob:
         current, fresh = new_items(items, self.history_table.read(ended[-1:]), self.limit)
         scraped = self._scraped(fresh, batch, staging)
         good = successful(scraped)
-        stored = self.article_table.read(ended) if ended else None
-        self.article_table.write(process_articles(good, stored, staging=staging, **self.options), batch)
+        earlier = {"stored": self.article_table.read(ended)} if self.postings is None and ended else {}
+        if self.postings is not None:
+            earlier = {"postings": self.postings.read(ended)}
+        start = self.article_table.next_id_after(ended)
+        self.article_table.write(process_articles(good, start_id=start, staging=staging, **earlier, **self.options), batch)
+        if self.postings is not None:
+            self.postings.write(postings_of(self.article_table.read([batch])), batch)
         self.rejected_table.write(rejected_rows(good), batch)
         self.history_table.write(current, batch)
         counts = run_summary(current, scraped).withColumns(

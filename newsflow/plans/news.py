@@ -27,12 +27,13 @@ def detect_novelty(
     make_encoder=None,
     threshold: float = DISTANCE_THRESHOLD,
     staging: Staging | None = None,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """``articles`` (with ``text``) in arrival order with id, embedding, is_redundant, novelty_label.
 
     Vectors come from the column function ``vector`` or, when given, from the
-    caller's own model (see ``embed_with``). ``stored`` rows (id, embedding)
-    all count as earlier.
+    caller's own model (see ``embed_with``). ``stored`` rows (id, embedding),
+    or the ``postings`` of sparse ones, all count as earlier.
     """
     staging = staging_for(articles, staging)
     # Written first, because the sort looks at its input twice.
@@ -44,7 +45,7 @@ def detect_novelty(
         embedded = embed_with(numbered, make_encoder)
     embedded = staging.table(embedded.withColumn("seq", F.col("id")), "embedded")
     corpus = None if stored is None else stored.select(F.col("id").alias("seq"), "embedding")
-    return flag_redundant(embedded, corpus, threshold, staging=staging).drop("seq")
+    return flag_redundant(embedded, corpus, threshold, staging=staging, postings=postings).drop("seq")
 
 
 def process_articles(
@@ -54,6 +55,7 @@ def process_articles(
     dictionary: dict | None = None,
     extra_names=("ripple", "binance coin"),
     created_at=None,
+    start_id: int | None = None,
     **options,
 ) -> DataFrame:
     """Rows for the article table: every article that names an asset, redundant or not.
@@ -63,8 +65,9 @@ def process_articles(
     """
     # Rows that the table would refuse get no id and are no corpus for others.
     passed = filter_assets(with_full_text(valid_rows(articles)), lexicon)
-    start = 1 if stored is None else ArticleStore.next_id(stored)
-    flagged = detect_novelty(passed, stored, start, **options)
+    if start_id is None:
+        start_id = 1 if stored is None else ArticleStore.next_id(stored)
+    flagged = detect_novelty(passed, stored, start_id, **options)
     rows = with_entities(flagged, lexicon, dictionary, extra_names=extra_names)
     # The table's description column holds the body that was used.
     rows = rows.withColumn("description", F.col("body"))

@@ -58,6 +58,9 @@ LINKED_ENTITY = _struct(
 
 TERM = _struct(term=T.LongType(), weight=T.DoubleType())
 SPARSE_VECTOR = T.ArrayType(TERM)
+POSTING = _struct(
+    bucket=T.IntegerType(), term=T.LongType(), seq=T.LongType(), weight=T.DoubleType(), h1=T.LongType(), h2=T.LongType()
+)
 DENSE_VECTOR = T.ArrayType(T.FloatType())
 
 

@@ -6,10 +6,11 @@ output and state, so a replayed batch gives the same tables again.
 
 from pyspark.sql import DataFrame
 
+from newsflow.operators.novelty import postings_of
 from newsflow.operators.staging import Staging
 from newsflow.plans.job import NewsJob
 from newsflow.plans.news import process_articles
-from newsflow.sources.stores import ArticleStore
+from newsflow.sources.stores import ArticleStore, PostingStore
 from newsflow.streaming.snapshots import SnapshotLog
 
 
@@ -34,14 +35,28 @@ def job_step(job: NewsJob):
     return step
 
 
-def news_step(articles: ArticleStore, **options):
-    """Filter, novelty against all stored and earlier articles, entities, append."""
+def news_step(articles: ArticleStore, postings: PostingStore | None = None, **options):
+    """Filter, novelty against all stored and earlier articles, entities, append.
+
+    With ``postings`` (for sparse vectors) a micro-batch opens only the stored
+    terms in the buckets of its own, and the last batch for the next id, so
+    what it reads follows its size; its own terms are appended at the end.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         staging = Staging(batch.sparkSession)
+        before = articles.before(batch_id)
         try:
-            stored = articles.read(articles.before(batch_id))
-            articles.write(process_articles(batch, stored, staging=staging, **options), batch_id)
+            if postings is None:
+                rows = process_articles(batch, articles.read(before), staging=staging, **options)
+            else:
+                known = postings.read([b for b in postings.before(batch_id) if b in set(before)])
+                rows = process_articles(
+                    batch, start_id=articles.next_id_after(before), postings=known, staging=staging, **options
+                )
+            articles.write(rows, batch_id)
+            if postings is not None:
+                postings.write(postings_of(articles.read([batch_id])), batch_id)
         finally:
             staging.drop()
 

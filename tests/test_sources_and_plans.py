@@ -15,10 +15,11 @@ from newsflow.operators.staging import SETTING, Staging, shared_folder
 from newsflow.plans import job as job_module
 from newsflow.plans.ingest import ingest
 from newsflow.plans.job import NewsJob
-from newsflow.plans.news import detect_novelty, process_articles
+from newsflow.operators.novelty import posting_bucket
+from newsflow.plans.news import detect_novelty, process_articles, three_word_vector
 from newsflow.schemas import DENSE_VECTOR, FEED_ITEM, INCOMING_ARTICLE
 from newsflow.sources.feeds import feed_step, read_batch, read_feed, read_pages, read_snapshot, stream_feed
-from newsflow.sources.stores import ArticleStore, SnapshotStore
+from newsflow.sources.stores import ArticleStore, PostingStore, SnapshotStore
 from newsflow.streaming import jobs
 from newsflow.streaming.snapshots import SnapshotLog
 
@@ -413,6 +414,33 @@ def test_stream_of_articles(spark, tmp_path):
     assert got == expected == [(1, False), (2, True), (3, True), (4, True), (5, False), (6, False)]
 
 
+def test_stream_with_postings(spark, tmp_path):
+    """Three micro-batches on a store: the rows of one batch, and only the buckets of a batch's terms are opened."""
+    table, postings = ArticleStore(spark, str(tmp_path / "articles")), PostingStore(spark, str(tmp_path / "postings"))
+    step = jobs.news_step(table, postings)
+    news = [(t, None if b is None else f"{b} {n}") for n in range(3) for t, b in NEWS]
+    parts = [news[:5], news[5:10], news[10:], news[:1]]
+    for number, part in enumerate(parts):
+        step(incoming(spark, part, f"s{number}"), number)
+    whole = None
+    for number, part in enumerate(parts):
+        frame = incoming(spark, part, f"s{number}")
+        whole = frame if whole is None else whole.unionByName(frame)
+    expected = [(r.id, r.title, r.is_redundant) for r in process_articles(whole).orderBy("id").collect()]
+    assert [(r.id, r.title, r.is_redundant) for r in table.read().orderBy("id").collect()] == expected
+    assert postings.batches() == [0, 1, 2, 3] and sum(e[2] for e in expected) >= 6
+    # A replay gives the same table again.
+    step(incoming(spark, parts[3], "s3"), 3)
+    assert [(r.id, r.title, r.is_redundant) for r in table.read().orderBy("id").collect()] == expected
+    # A small batch opens some buckets only.
+    asked = incoming(spark, [("Bitcoin", "a b c d e f")]).select(F.explode(three_word_vector(F.lit("a b c d e f"))).alias("t"))
+    buckets = {r[0] for r in asked.select(posting_bucket(F.col("t.term"))).collect()}
+    stored = postings.read().select("bucket").distinct().count()
+    assert 0 < len(buckets) <= 4 < stored
+    plan = postings.read().filter(F.col("bucket").isin(list(buckets)))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+
+
 def test_fixed_values():
     assert len(CRYPTO_ASSETS.names) == 10 and len(CRYPTO_ASSETS.tickers) == 8
     assert len(ASSET_DICTIONARY) == 20 and len(set(ASSET_DICTIONARY.values())) == 10
