@@ -20,7 +20,7 @@ PAGE_TAIL = " - 1 - 2 - 3 tail"
 PLANTED_TABLE = '<table><tr><td>a<TABLE x="1"><td>b</td></TABLE>c<table>d</table></td></tr></table><nav>e<nav>f</nav>g</nav>'
 PLANTED_REFERENCES = "<p>&#38;lt;b&#38;gt; &eacute;&trade;&#x41; &amp;amp; &unknown; &#0; &</p>"
 # Groups of days that land one after the other.
-LANDINGS = 11
+LANDINGS = 9
 FEED_FILE_ITEMS = 50
 # Micro-batches into which the sources of documents are dealt in order.
 SOURCE_LANDINGS = 3

@@ -26,11 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Staging:
-    """One job's intermediate tables. ``drop`` removes them when the job is done."""
+    """One job's intermediate tables. ``drop`` removes them when the job is done.
+
+    A result that is read later still needs them, so nobody may be there to
+    drop them; what is left goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/newsflow/{uuid.uuid4().hex}"
+        path, files = self._files()
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self):
+        """(the folder, its file system) in the JVM."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def table(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -41,16 +53,15 @@ class Staging:
         """The table of a job's result; the job's other tables are removed."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         frame.write.parquet(path)
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        root, files = self._files()
         for entry in files.listStatus(root):
             if not path.endswith(f"/{entry.getPath().getName()}"):
                 files.delete(entry.getPath(), True)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._files()
+        files.delete(path, True)
 
 
 def staging_for(frame: DataFrame, staging: Staging | None) -> Staging:
