@@ -520,7 +520,7 @@ def pipeline_end_to_end(spark, folder):
     pages = read_table(spark, folder, "pages")
     job = NewsJob(
         spark, f"{Staging(spark).root}/job", lambda: pages, limit=None, lexicon=LEXICON, dictionary=DICTIONARY,
-        extra_names=(), threshold=TEXT_DISTANCE, scraped_at="2024-01-01",
+        extra_names=(), threshold=TEXT_DISTANCE, scraped_at="2024-01-01", chunks=2,
     )
     for run in (0, 1):
         job.run(inputs.titled_page_items(spark, folder, run), run)
