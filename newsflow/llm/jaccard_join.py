@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.llm.blocks import arrays, column, pack, release, small_batches, unpack
+from newsflow.llm.blocks import column, from_raw, pack, raw_columns, release, small_batches, unpack
 from newsflow.llm.graph import components
-from newsflow.llm.words import fold, mix, pieces, span_hashes, window_hashes, words_of
+from newsflow.llm.words import fold, free_name, mix, pieces, span_hashes, window_hashes, words_of
 from newsflow.operators.shipping import ship_package
 from newsflow.operators.staging import Staging, staging_for
 from newsflow.sources.files import delete
@@ -249,7 +249,7 @@ def _leaves(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << _ROW_BITS
         held: list = []
-        tree, tokens = None, 0
+        tree, last, tokens = None, None, 0
         before: Leaf | None = None
 
         def close() -> pa.RecordBatch:
@@ -269,6 +269,9 @@ def _leaves(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 here, name = batch.column("tree")[at].as_py(), batch.column("name")[at].as_py()
+                if name == last:
+                    continue  # repeated rows bring a class more than once
+                last = name
                 data = batch.column("tokens")[at].as_py()
                 if held and (here != tree or len(held) >= LEAF or tokens > LEAF_TOKENS):
                     yield close()
@@ -350,10 +353,21 @@ def join(
     staging: Staging | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("mark"))
+    members, named = _classes(rows, width, percent, staging_for(docs, staging))
+    none = members.filter("name is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    found = members.join(named, "name").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return found.unionByName(none)
+
+
+def _classes(docs: DataFrame, width: int, percent: int, staging: Staging) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, mark, name, size) and classes (name, root, component_id) of rows (doc_id, text, mark).
+
+    ``name`` is the class of a row's set, null if it has none. A mark is a hash
+    that tells rows with one id, or without an id, from each other.
+    """
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
-    staging = staging_for(docs, staging)
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,10 +377,10 @@ def join(
                 name = pa.array(sets.classes(), mask=sets.sizes == 0)
                 size = pa.array(np.diff(sets.first).astype(np.int64))
                 bytes_ = pa.array(np.full(len(size), piece.column("text").nbytes // max(1, len(size))))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), name, size, bytes_], ["doc_id", "name", "size", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("mark"), name, size, bytes_], ["doc_id", "mark", "name", "size", "n_bytes"])
         release()
 
-    members = staging.table(docs.mapInArrow(measure, f"doc_id {id_kind}, name bigint, size bigint, n_bytes bigint"), "members")
+    members = staging.table(docs.mapInArrow(measure, f"doc_id {id_kind}, mark bigint, name bigint, size bigint, n_bytes bigint"), "members")
     total = members.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     members = members.drop("n_bytes")
@@ -393,7 +407,7 @@ def join(
                 found, starts = np.unique(bucket[where], return_index=True)
                 parts = np.split(where, starts[1:]) if len(found) else []
                 low, high = kept_keys.astype(np.uint32), (kept_keys >> np.uint64(32)).astype(np.uint8)
-                data = [arrays(low=low[p], high=high[p], name=kept_names[p]) for p in parts]
+                data = [raw_columns(low[p], high[p], np.diff(kept_names[p], prepend=0)) for p in parts]
                 out = [found.astype(np.int64), np.full(len(links), -1) - (links[:, 0] % buckets)] if len(links) else [found.astype(np.int64)]
                 bucket_col = np.concatenate(out)
                 blobs = pa.array(data + [None] * len(links), pa.binary())
@@ -403,10 +417,10 @@ def join(
         release()
 
     def met(table: pa.Table) -> pa.Table:
-        sent = [unpack(d) for d in table.column("data").to_pylist()]
-        low, high = (np.concatenate([column(s, c) for s in sent]).astype(np.uint64) for c in ("low", "high"))
+        sent = [from_raw(d, np.uint32, np.uint8, np.int64) for d in table.column("data").to_pylist()]
+        low, high = (np.concatenate([m[c] for m in sent]).astype(np.uint64) for c in (0, 1))
         keys = low | (high << np.uint64(32))
-        name = np.concatenate([column(s, "name") for s in sent])
+        name = np.concatenate([np.cumsum(m[2]) for m in sent])
         order = np.lexsort((name, keys))
         keys, name = keys[order], name[order]
         fresh = np.ones(len(keys), bool)
@@ -427,17 +441,20 @@ def join(
     wanted = (
         members.filter("name is not null")
         .groupBy("name")
-        .agg(F.min("doc_id").alias("first_id"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"))
         .join(trees.withColumnRenamed("node", "name"), "name")
-        .select("name", "first_id", F.col("root").alias("tree"))
+        .select("name", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("root").alias("tree"))
     )
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "name", "tree")
+    # One text per class; the mark keeps rows without an id, or with the same one, apart.
+    same = (F.col("mark") == F.col("first_mark")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = docs.join(wanted, same).select("text", "name", "tree")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets = Sets(piece.column("text"), width)
-                hit = np.flatnonzero(sets.classes() == column(piece, "name"))
+                _, once = np.unique(column(piece, "name"), return_index=True)
+                hit = np.sort(once[sets.classes()[once] == column(piece, "name")[once]])
                 bounds = list(zip(sets.first[hit].tolist(), sets.first[hit + 1].tolist()))
                 data = [sets.tokens[a:b].tobytes() for a, b in bounds]
                 low = [int(sets.tokens[a].view(np.int64)) for a, _ in bounds]
@@ -470,9 +487,7 @@ def join(
     classes = members.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("id"))
     rooted = classes.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = staging.table(rooted.join(least, "root").select("name", "component_id"), "named")
-    none = members.filter("name is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return members.join(named, "name").select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionByName(none)
+    return members, staging.table(rooted.join(least, "root").select("name", "root", "component_id"), "named")
 
 
 def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
@@ -495,16 +510,24 @@ def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", staging: Staging | None = None) -> DataFrame:
-    """``docs`` with one row of each component (the smallest id), and every row without words.
+    """``docs`` with one row of each component: that with the smallest id, null last; and every row without words.
 
-    Columns stay as they are. Rows that share id and set are one document; of
-    rows that share a component's smallest id one stays.
+    Columns stay as they are. Rows that share an id, or have none, are
+    documents of their own: only the overlap of their texts decides. Of rows
+    with the smallest id that with the smallest hash of all columns stays; rows
+    equal in all columns are one.
     """
     staging = staging_for(docs, staging)
-    found = join(docs, width, percent, doc_id, text, staging).filter("n_shingles > 0")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_first")).distinct()
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    mark = F.xxhash64(*hashed)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), mark.alias("mark"))
+    members, named = _classes(rows, width, percent, staging)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")
+    stays = members.join(named, "name").groupBy("root").agg(first)
+    own_id, own_mark = free_name(docs.columns, "kept_id"), free_name(docs.columns, "kept_mark")
+    stays = staging.table(stays.select(F.col("first.doc_id").alias(own_id), F.col("first.mark").alias(own_mark)).distinct(), "stays")
     has_words = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     written, blank = docs.filter(has_words), docs.filter(~has_words)
-    kept = written.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col("_first")), "left_semi")
-    # Only rows that share an id can still be copies of each other.
-    return kept.dropDuplicates([doc_id]).unionByName(blank)
+    kept = written.join(stays, (mark == F.col(own_mark)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)))
+    # What shares a mark is one row repeated.
+    return kept.dropDuplicates([own_mark]).drop(own_id, own_mark).unionByName(blank)
