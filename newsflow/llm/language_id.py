@@ -6,15 +6,21 @@ the language knows; a byte unseen there pays the escape probability and is
 looked up one byte shorter, down to a uniform order. The statistics are frozen
 before scoring: contexts kept by the trees are laid out as one table of exact
 code lengths, so a text costs one lookup per byte for all languages together.
-The language with the shortest code wins; the score is its posterior share.
+The language with the shortest code wins, the first by name of equals; the
+score is its posterior share.
 
 Trees are fitted on a bounded sample: per language about ``sample`` documents
-chosen by a hash of the id, and the ``MOST_GRAMS`` most frequent four-byte
-sequences of each. Everything else covers all documents.
+chosen by a hash of the id. All their byte sequences are counted and every
+language is kept. Contexts seen fewer than ``least`` times in all samples
+together are left to shorter ones; ``least`` is the smallest power of two for
+which the table of code lengths has at most ``TABLE_BYTES``, which
+is what travels to the executors. Everything else covers all documents.
 
 Null text, or one without a letter: 'und', score 0. Null labels are not
-learned. Without any labelled text every prediction is 'und'. Repeated rows
-get the same prediction. Extra columns are ignored.
+learned. Without any labelled text, or in an empty table, nothing is learned
+and every prediction is 'und'. Very long texts are scored whole, in pieces of
+rows. Repeated rows get the same prediction. Kept columns may have any name but
+``lang_pred`` and ``score``; others are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.llm.words import pieces, text_bytes
+from newsflow.llm.words import free_name, pieces, text_bytes
 from newsflow.operators.shipping import ship_package
 from newsflow.operators.staging import Staging, staging_for
 
 ORDER = 3
 SAMPLE_DOCS = 1000
-MOST_LANGUAGES = 200
-MOST_GRAMS = 60_000
-MOST_CONTEXTS = 20_000
+TABLE_BYTES = 32 << 20
 
 
 def _grams(raw: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
@@ -48,8 +52,8 @@ def _grams(raw: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> list[np.
     return columns
 
 
-def gram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """(lang, gram, n): four-byte sequences by language, the newest byte lowest."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n) of (lang, text): four-byte sequences by language, the newest byte lowest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,20 +65,31 @@ def gram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
                     codes, counts = np.unique(sum(c << (8 * i) for i, c in enumerate(columns)), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["lang", "gram", "n"])
 
-    rows = docs.select(F.col(lang).alias("lang"), F.lower(F.col(text)).alias("text"))
+    rows = docs.select("lang", F.lower("text").alias("text"))
     return rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Trees:
     """The context trees of all languages as one table of code lengths."""
 
-    def __init__(self, counts: list[tuple[str, int, int]]):
-        self.languages = sorted({lang for lang, _, _ in counts})
-        number = {lang: i for i, lang in enumerate(self.languages)}
-        lang = np.array([number[c[0]] for c in counts], np.int64)
-        gram = np.array([c[1] for c in counts], np.int64)
-        n = np.array([c[2] for c in counts], np.float64)
+    def __init__(self, counts: pa.Table, table_bytes: int = TABLE_BYTES):
+        names = counts.column("lang").to_numpy() if counts.num_rows else np.zeros(0, object)
+        self.languages = sorted(set(names.tolist()))
+        lang = np.searchsorted(np.array(self.languages, object), names) if len(names) else np.zeros(0, np.int64)
+        gram, n = counts.column("gram").to_numpy().astype(np.int64), counts.column("n").to_numpy().astype(np.float64)
         parts = [(gram >> (8 * i)) & 255 for i in range(ORDER + 1)]
+        # How often each row's context of an order occurs; rare ones are left to shorter contexts.
+        often = [np.ones(len(gram))]
+        rows = []
+        for order in range(1, ORDER + 1):
+            _, of = np.unique((gram >> 8) & ((1 << (8 * order)) - 1), return_inverse=True)
+            totals = np.bincount(of, n)
+            often.append(totals[of])
+            rows.append(totals)
+        row_bytes = 4 * (len(np.unique(gram & 255)) + 2) * max(1, len(self.languages))
+        self.least = 1
+        while sum((r >= self.least).sum() for r in rows) * row_bytes > table_bytes:
+            self.least *= 2
         seen = np.unique(np.concatenate([np.zeros(1, np.int64), *parts]))
         # Class 0 stands for all bytes that no language has.
         self.values = np.zeros(256, np.int32)
@@ -85,15 +100,15 @@ class Trees:
         # Probabilities of every byte class after a context; order -1 is uniform over bytes.
         probability = np.full((1, size, languages), 1 / 256)
         row_of = np.zeros(1, np.int64)  # context code -> row, for the order before
-        tables, base = [], 0
         for order in range(ORDER + 1):
             code = np.zeros(len(gram), np.int64)
             for back in range(order, 0, -1):
                 code = code * size + parts[back]
-            contexts, totals = np.unique(code, return_inverse=False), None
-            totals = np.bincount(np.searchsorted(contexts, code), n)
-            if len(contexts) > MOST_CONTEXTS:
-                contexts = np.sort(contexts[np.argsort(-totals, kind="stable")[:MOST_CONTEXTS]])
+            contexts = np.unique(code[often[order] >= self.least] if order else code)
+            if not len(contexts):
+                # Nothing known at this order: its codes point to the rows of the order before.
+                row_of = row_of[np.arange(size**order) % (size ** (order - 1))] if order else row_of
+                continue
             at = np.minimum(np.searchsorted(contexts, code), len(contexts) - 1)
             known = contexts[at] == code
             count = np.zeros((len(contexts), size, languages))
@@ -131,33 +146,30 @@ def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
     """Trees from a bounded sample of the given labelled documents."""
     staging = staging_for(docs, staging)
     ship_package(docs.sparkSession)
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("known")).agg(F.count(F.lit(1)).alias("of"))
-    counts = staging.table(counts.orderBy(F.desc("of"), "known").limit(MOST_LANGUAGES), "languages")
-    chance = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    chosen = rows.join(F.broadcast(counts), F.col(lang) == F.col("known")).filter(chance < sample / F.col("of"))
-    grams = staging.table(gram_counts(chosen, lang, text), "grams")
-    collected = []
-    for row in counts.select("known").collect():
-        best = grams.filter(F.col("lang") == row["known"]).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS)
-        collected += [tuple(r) for r in best.collect()]
-    return Trees(collected)
+    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.filter("lang is not null and text is not null")
+    counts = staging.table(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "languages")
+    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    chosen = rows.join(counts, "lang").filter(chance < sample / F.col("of"))
+    # As large as the sample's own byte sequences, whatever the corpus.
+    return Trees(staging.table(gram_counts(chosen), "grams").orderBy("lang", "gram").toArrow())
 
 
 def predict(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") -> DataFrame:
     """(kept columns, lang_pred, score) from the text alone."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    body_name, letters_name = free_name(keep, "body"), free_name(keep, "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for piece in pieces(batch, "_body"):
-                letters = np.array(piece.column("_letters").to_pylist(), bool)
+            for piece in pieces(batch, body_name):
+                letters = np.array(piece.column(letters_name).to_pylist(), bool)
                 names = np.full(len(letters), "und", object)
                 score = np.zeros(len(letters))
                 if known.languages and len(letters):
-                    bits = known.code_lengths(piece.column("_body"))
+                    bits = known.code_lengths(piece.column(body_name))
                     best = bits.argmin(1)
                     share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
                     names = np.where(letters, np.array(known.languages, object)[best], "und")
@@ -165,9 +177,9 @@ def predict(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text")
                 rest = [piece.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names.tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    body = F.lower(F.col(text))
-    rows = docs.select(*keep, body.alias("_body"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    whole, kept = F.col(f"`{text}`"), [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*kept, F.lower(whole).alias(body_name), F.coalesce(whole.rlike(r"\p{L}"), F.lit(False)).alias(letters_name))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
