@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from newsflow.llm.blocks import column
 from newsflow.llm.mixing import thresholds
 from newsflow.llm.words import Words, fold, pieces, window_hashes, words_of
 from newsflow.operators.shipping import ship_package
@@ -83,6 +84,7 @@ def resample(
     staging = staging_for(docs, staging)
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    named = docs.withColumn("name", F.xxhash64(F.col("doc_id").cast("string")))
     chosen = target_ids.select(F.col("doc_id").alias("wanted")).filter("wanted is not null").distinct()
     chosen = staging.table(chosen.orderBy(F.xxhash64("wanted"), "wanted").limit(target_docs), "chosen")
     target = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("wanted"), "left_semi")
@@ -95,9 +97,7 @@ def resample(
             for piece in pieces(batch, "text"):
                 bucket, owner = features(words_of(piece.column("text"), lower=True))
                 weight = np.bincount(owner, ratio[bucket], minlength=piece.num_rows)
-                ids = words_of(piece.column("doc_id").cast(pa.string()))
-                name = np.zeros(piece.num_rows, np.uint64)
-                name[ids.texts()] = ids.hashes()
+                name = column(piece, "name").astype(np.uint64)
                 uniform = (fold(name, np.full(len(name), seed)) >> np.uint64(11)).astype(np.float64) + 0.5
                 key = weight - np.log(-np.log(uniform / float(1 << 53)))
                 # Order-preserving integers, largest key first, in 60 bits.
@@ -108,7 +108,7 @@ def resample(
                     [piece.column("doc_id"), pa.array(weight), pa.array(key), pa.array(place)], ["doc_id", "log_weight", "gumbel_key", "place"]
                 )
 
-    scored = staging.table(docs.mapInArrow(run, f"doc_id {kind}, log_weight double, gumbel_key double, place bigint"), "scored")
+    scored = staging.table(named.mapInArrow(run, f"doc_id {kind}, log_weight double, gumbel_key double, place bigint"), "scored")
     rows = scored.select(F.lit("all").alias("source"), "place", F.lit(1).cast("bigint").alias("size"))
     budget = scored.agg(F.floor(F.count(F.lit(1)) * share).cast("double").alias("budget")).select(F.lit("all").alias("source"), "budget")
     cut = thresholds(rows, budget, staging).first()["below"]
