@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and repeated rows, against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -145,12 +146,45 @@ def test_signatures_lose_no_link():
     assert outcomes == {True, False}
 
 
-def test_one_of_each(docs):
+def brute_kept(data):
+    """Of each component of near copies the row with the smallest id, and all rows without words."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := [x.lower() for x in words(r[1])]) else set() for r in data]
+    group = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for g, s, r in zip(group, sets, data):
+        if s:
+            key = (r[0] is None, r[0] or 0)
+            least[g] = min(least.get(g, key), key)
+    kept = [least[g][1] if not least[g][0] else None for g in least]
+    return sorted(map(repr, kept + [r[0] for s, r in zip(sets, data) if not s]))
+
+
+def test_one_of_each(spark, docs, empty):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = sorted(r.doc_id for r in kept.filter("doc_id is not null").collect())
-    expected = {c for _, n, c in brute_components(rows(), 5, 80) if n} | {i for i, t, *_ in rows() if not words(t)}
-    assert ids == sorted(expected - {None}) and 2 not in ids and 3 not in ids and 8 not in ids
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == brute_kept(rows())
+    assert jaccard_join.one_of_each(empty).count() == 0
+
+
+def test_one_of_each_without_ids(spark):
+    """Unrelated texts that share an id, or have none, all stay; own columns may have any name."""
+    texts = [prose(40, 1000 + i) for i in range(6)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (3, texts[5]), (7, texts[5]), (7, prose(40, 1010))]
+    frame = spark.createDataFrame([(i, t, 1, "x", {"a": 1}) for i, t in data], "doc_id bigint, text string, _first int, kept_mark string, mark map<string, int>")
+    kept = jaccard_join.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(data[:6] + data[7:], key=repr)
+
+
+def test_jaccard_join_without_ids(spark):
+    """Rows without an id are not paired with each other: each class meets its own text."""
+    data = [(None, prose(30, 2000 + i % 40) + (" tail" if i % 3 == 0 else ""), *[None] * 6) for i in range(120)]
+    got = jaccard_join.join(spark.createDataFrame(data, SCHEMA), 5, 80).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_components(data, 5, 80)
 
 
 def test_decontamination(spark, docs, empty):
@@ -164,6 +198,51 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.clean(docs, items.limit(0)).count() == len(rows())
 
 
+def test_decontamination_with_clashing_names(spark, docs):
+    item = rows()[10][1]
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    named = docs.selectExpr("*", "1 AS hit", "2 AS hit_key", "3 AS _hit", "4 AS similarity", "5 AS start")
+    kept = decontamination.clean(named, items)
+    assert kept.columns == named.columns and kept.count() == len(rows()) - 3
+
+
+def brute_windows(text, item, width=5):
+    """(similarity, -start) of the best window of the item's length that starts at a shared shingle."""
+    w, i = ((x or "").lower().split() for x in (text, item))
+    width = min(width, len(i))
+    grams = lambda x: [tuple(x[k : k + width]) for k in range(len(x) - width + 1)]
+    own, best = grams(i), (0, 0)
+    for start in range(len(w)):
+        window = grams(w[start : start + len(i)])
+        if not window or window[0] not in own:
+            continue
+        common = sum(min(own.count(g), window.count(g)) for g in set(own))
+        best = max(best, (common / (len(own) + len(window) - common), -start))
+    return best
+
+
+def test_decontamination_recall(spark):
+    """Changed copies of items inside of other text: at least 0.99 of those at 0.8 or more are found, and no others."""
+    items = [(i, prose(40 + i % 30, 5000 + i)) for i in range(60)]
+    data = []
+    for i, text in items:
+        for copy in range(6):
+            changed, r = text.split(), random.Random(i * 10 + copy)
+            for _ in range(copy % 3):
+                changed[r.randrange(len(changed))] = "other"
+            data.append((len(data), prose(15, i + copy) + " " + " ".join(changed) + " " + prose(10, copy)))
+    expected = {}
+    for doc_id, text in data:
+        for item_id, item in items[doc_id // 6 : doc_id // 6 + 1]:
+            similarity, back = brute_windows(text, item)
+            if similarity >= 0.8:
+                expected[doc_id, item_id] = (pytest.approx(similarity), -back)
+    found = decontamination.find(spark.createDataFrame(data, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in found.collect()}
+    assert set(got) <= set(expected) and all(got[k] == expected[k] for k in got)
+    assert len(expected) > 120 and len(got) >= 0.99 * len(expected)
+
+
 def test_sharding(docs, empty):
     out = sharding.into_shards(docs, 4).collect()
     sizes = [sum(r.shard == s for r in out) for s in range(4)]
@@ -199,8 +278,62 @@ def test_language_id(spark, empty):
     assert all(0 <= r.score <= 1 for r in got.values())
     bits = trees.bits.astype(float)
     assert (np.exp2(-bits).sum(1) < 1.01).all()
+    clashing = language_id.predict(frame.selectExpr("doc_id AS body", "text", "lang AS letters"), trees, ["body", "letters"])
+    assert {r.body: r.lang_pred for r in clashing.collect()} == {i: r.lang_pred for i, r in got.items()}
     none = language_id.fit(empty)
     assert {r.lang_pred for r in language_id.predict(frame, none, ["doc_id"]).collect()} == {"und"}
+    assert language_id.predict(empty, trees, ["doc_id"]).count() == 0
+
+
+def brute_bits(samples, least, text):
+    """Bits of a text under one language's samples, by prediction by partial matching with counts in dictionaries."""
+    every = {}
+    own = {}
+    for lang, texts in samples.items():
+        for t in texts:
+            padded = b"\0" * 3 + t.encode()
+            for at in range(3, len(padded)):
+                for order in range(4):
+                    context = padded[at - order : at]
+                    every[context] = every.get(context, 0) + 1
+                    follows = own.setdefault(lang, {}).setdefault(context, {})
+                    follows[padded[at]] = follows.get(padded[at], 0) + 1
+    totals = {}
+    for lang in samples:
+        total, padded = 0.0, b"\0" * 3 + text.encode()
+        for at in range(3, len(padded)):
+            p = 1.0
+            for order in (3, 2, 1, 0):
+                context = padded[at - order : at]
+                follows = own[lang].get(context)
+                if not follows or (order and every[context] < least):
+                    continue
+                n, kinds = sum(follows.values()), len(follows)
+                if padded[at] in follows:
+                    p *= follows[padded[at]] / (n + kinds)
+                    break
+                p *= kinds / (n + kinds)
+            else:
+                p /= 256
+            total -= math.log2(p)
+        totals[lang] = total
+    return totals
+
+
+@pytest.mark.parametrize("table_bytes", [1 << 25, 60_000])
+def test_language_model_against_brute_force(spark, table_bytes):
+    """Code lengths with all contexts, and with rare ones left to shorter ones; any number of languages."""
+    draw = random.Random(12)
+    samples = {f"l{i:02}": [" ".join(draw.choices(["ab", "ba", f"c{i}", "ñé", "dd" * (i % 4)], k=12)) for _ in range(4)] for i in range(23)}
+    frame = spark.createDataFrame([(n, t, lang) for n, (lang, t) in enumerate((k, t) for k, ts in samples.items() for t in ts)], "doc_id bigint, text string, lang string")
+    counts = language_id.gram_counts(frame.select("lang", "text")).toArrow()
+    trees = language_id.Trees(counts, table_bytes)
+    assert trees.languages == sorted(samples) and (trees.least > 1) == (table_bytes < 1 << 20)
+    texts = ["ab ba c3", "", "ñé dd \u65e5 x", "c11 c11", "zz"]
+    lengths = trees.code_lengths(pa.array(texts))
+    for row, text in zip(lengths, texts):
+        expected = brute_bits(samples, trees.least, text)
+        assert row.tolist() == pytest.approx([expected[lang] for lang in trees.languages], rel=1e-4, abs=1e-3)
 
 
 def test_license_scan(spark, docs, empty):
@@ -232,6 +365,71 @@ def test_importance(spark, docs, empty):
     assert importance.resample(empty, good).count() == 0
 
 
+def test_importance_against_brute_force(spark):
+    """Weights from own models, and noise of its own for every id, also those that end in the same word."""
+    data = [(f"{a} x", prose(20, i)) for i, a in enumerate("abcdefgh")] + [("a x", prose(20, 0)), (None, prose(9, 3))]
+    good = spark.createDataFrame([("b x",), ("c x",)], "doc_id string")
+    out = importance.resample(spark.createDataFrame(data, "doc_id string, text string"), good, share=0.5).collect()
+    noise = {(r.doc_id): round(r.gumbel_key - r.log_weight, 9) for r in out}
+    assert len(set(noise.values())) == len(noise) == 9
+
+    def model(texts):
+        n = np.full(importance.BUCKETS, importance.SMOOTHING)
+        for t in texts:
+            np.add.at(n, importance.features(importance.words_of(pa.array([t]), lower=True))[0], 1)
+        return np.log(n / n.sum())
+
+    ratio = model([t for i, t in data if i in ("b x", "c x")]) - model([t for _, t in data])
+    expected = sorted((repr(i), round(float(ratio[importance.features(importance.words_of(pa.array([t]), lower=True))[0]].sum()), 6)) for i, t in data)
+    assert sorted((repr(r.doc_id), round(r.log_weight, 6)) for r in out) == expected
+
+
+def long_repeats():
+    """Near copies of long texts, in any order of ids, with ids that repeat or are missing."""
+    draw = random.Random(77)
+    bases = [[f"w{draw.randrange(4000)}" for _ in range(n)] for n in (900, 700, 25, 20, 19)]
+    out = []
+    for i in range(90):
+        text = list(draw.choice(bases))
+        for _ in range(draw.choice([0, 0, 1, 3])):
+            text[draw.randrange(len(text))] = draw.choice(["changed", "w1", "w2 w3"])
+        if i % 5 == 0:
+            text = text[draw.randrange(10) :] + text[: draw.randrange(400)]
+        out.append((draw.choice([None, 5, 700 - i, i, 2 * i]), " ".join(text)))
+    return out + [(1000, "r " * 500), (1001, "q " + "r " * 300), (1002, "r " * 19), (-4, " ".join(bases[0]))]
+
+
+def test_substring_dedup_of_long_repeats(spark):
+    data = long_repeats()
+    # Rows with one id are ordered by a hash of their text, so only ids of their own are compared word by word.
+    ids = [i for i, _ in data]
+    data = [(i, t) for i, t in data if i is not None and ids.count(i) == 1]
+    seen, expected = set(), []
+    for doc_id, text in sorted(data):
+        w, gone = text.split(), set()
+        for i in range(len(w) - 19):
+            if tuple(w[i : i + 20]) in seen:
+                gone |= set(range(i, i + 20))
+            seen.add(tuple(w[i : i + 20]))
+        expected.append((doc_id, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    for parts, bucket_bytes in ((1, 1 << 24), (7, 1 << 12)):
+        out = substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id bigint, text string").repartition(parts), bucket_bytes=bucket_bytes)
+        assert sorted(tuple(r) for r in out.collect()) == expected
+
+
+def test_substring_dedup_without_ids(spark):
+    """Equal ids and none: some order holds, and of each window exactly one occurrence stays."""
+    data = long_repeats()
+    out = substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id bigint, text string").repartition(5)).collect()
+    assert sorted((repr(r.doc_id), r.n_words) for r in out) == sorted((repr(i), len(t.split())) for i, t in data)
+    windows = lambda t: {tuple(w[i : i + 20]) for w in [t.split()] for i in range(len(w) - 19)}
+    every = set().union(*(windows(t) for _, t in data))
+    kept = [w for r in out for w in windows(r.kept_text) & every]
+    assert len(kept) == len(set(kept))
+    untouched = sorted(r.kept_text for r in out if r.n_removed == 0 and r.n_words >= 20)
+    assert len(untouched) == len(set(untouched)) > 0
+
+
 def test_substring_dedup(spark, docs, empty):
     size, seen = 20, set()
     data = sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0))
