@@ -3,11 +3,17 @@
 A document's candidate windows have the length of an item and start at a word
 shingle that the item shares: any window moves right to its first shared
 shingle without losing one, so no better window exists elsewhere. Each window
-and item gets a 64-bit SimHash. Fingerprints are cut into blocks; two that
-differ in at most ``radius`` bits differ in at most radius // blocks bits in
-some block, so items are indexed under all such variants of each block and an
-equi-join finds every pair within the radius. Pairs are then verified by the
-exact weighted Jaccard similarity of their shingles (weight: occurrences).
+and item gets a 64-bit SimHash. Fingerprints are cut into more blocks than two of
+them may differ in bits, so two within the radius are equal in some block. The
+index holds an item under each block together with each of its shingles, and a
+window asks with each block and its first shingle: an equi-join finds every
+pair within the radius, and compares no window with items it shares nothing
+with. Pairs are then verified by the exact weighted Jaccard similarity of
+their shingles (weight: occurrences).
+
+Positions of shared shingles are found first; only texts that have any are
+read again to cut their windows. Which side of a join travels is left to the
+optimizer, by measured sizes.
 
 Words are lower-cased runs without ASCII white space, shingles five words, or
 a whole item if it is shorter. Null or empty texts and items match nothing. A
@@ -18,20 +24,16 @@ columns are ignored, or kept as they are by ``clean``.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsflow.functions.text import let
+from newsflow.llm.words import free_name
 from newsflow.operators.staging import Staging, staging_for
 
 SHINGLE = 5
 SIMILARITY = 0.8
 # Two sets of similarity 0.8 differ in some 10 of 64 bits; 20 is more than three deviations above.
 RADIUS = 20
-# Item shingles (some 40 bytes each) that may be sent to every executor.
-MOST_BROADCAST = 1_000_000
-BLOCK_WIDTHS = (9, 9, 9, 9, 9, 9, 10)
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -51,12 +53,6 @@ def _text_shingles(text: Column, width: int) -> Column:
     return let(_words(text), lambda words: _shingles(words, width))
 
 
-def _near(number: int, value: Column, width: int, most: int) -> Column:
-    """A block's value and all values at most ``most`` bits away, with the block's number."""
-    masks = F.array(*[F.lit(m).cast("bigint") for m in _variants(width, most)])
-    return F.transform(masks, lambda m: F.struct(F.lit(number).alias("block"), value.bitwiseXOR(m).alias("value")))
-
-
 def simhash(shingles: Column) -> Column:
     """64 bits: whether more than half of all occurrences have the bit set."""
     bits = F.transform(
@@ -70,17 +66,15 @@ def simhash(shingles: Column) -> Column:
     )
 
 
-def _blocks(fingerprint: Column) -> list[Column]:
-    out, at = [], 0
-    for width in BLOCK_WIDTHS:
-        out.append(F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << width) - 1)))
+def _blocks(fingerprint: Column, radius: int) -> Column:
+    """(block, value) of radius + 1 blocks that cover all 64 bits."""
+    at, out = 0, []
+    for number in range(radius + 1):
+        width = (64 - at) // (radius + 1 - number)
+        value = F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << width) - 1))
+        out.append(F.struct(F.lit(number).alias("block"), value.alias("value")))
         at += width
-    return out
-
-
-def _variants(width: int, most: int) -> list[int]:
-    """Masks of at most ``most`` set bits."""
-    return [sum(1 << b for b in chosen) for n in range(most + 1) for chosen in combinations(range(width), n)]
+    return F.array(*out)
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -125,56 +119,33 @@ def find(
             f"sharing{width}",
         )
         hashed = keyed.select("doc_id", "text_key", _text_shingles(F.col("text"), width).alias("hashes"))
+        spots = (
+            hashed.select("doc_id", "text_key", F.posexplode("hashes").alias("start", "h"))
+            .join(sharing, "h")
+            .select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "start", F.explode("sizes").alias("size"))
+            .groupBy("d", "k")
+            .agg(F.collect_set(F.struct("start", "size")).alias("spots"))
+        )
+        spots = staging.table(spots, f"spots{width}")
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
         cut = F.slice(F.col("hashes"), F.col("start") + 1, F.col("size") - (width - 1)).alias("shingles")
-        if sharing.count() <= MOST_BROADCAST:
-            # The join happens where the text's shingles are, so windows are cut at once.
-            found = (
-                hashed.select("*", F.posexplode("hashes").alias("start", "h"))
-                .join(F.broadcast(sharing), "h")
-                .select("doc_id", "text_key", "hashes", "start", F.explode("sizes").alias("size"))
-                .select("doc_id", "text_key", "start", "size", cut)
-            )
-        else:
-            # Too many item shingles for that: positions meet them in a shuffle and go back to the texts.
-            spots = (
-                hashed.select("doc_id", "text_key", F.posexplode("hashes").alias("start", "h"))
-                .join(sharing, "h")
-                .select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "start", F.explode("sizes").alias("size"))
-                .groupBy("d", "k")
-                .agg(F.collect_set(F.struct("start", "size")).alias("spots"))
-            )
-            same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
-            found = (
-                hashed.join(spots, same)
-                .select("doc_id", "text_key", "hashes", F.explode("spots").alias("spot"))
-                .select("doc_id", "text_key", "hashes", "spot.*")
-                .select("doc_id", "text_key", "start", "size", cut)
-            )
+        found = (
+            keyed.join(spots, same)
+            .select("doc_id", "text_key", "spots", _text_shingles(F.col("text"), width).alias("hashes"))
+            .select("doc_id", "text_key", "hashes", F.inline("spots"))
+            .select("doc_id", "text_key", "start", "size", cut)
+        )
         windows = found if windows is None else windows.unionByName(found)
     windows = staging.table(
         windows.dropDuplicates(["doc_id", "text_key", "start", "size"]).withColumn("print", simhash(F.col("shingles"))), "windows"
     )
-    most = radius // len(BLOCK_WIDTHS)
-    index = items.select(
-        "item_id",
-        "size",
-        F.col("print").alias("item_print"),
-        F.explode(
-            F.concat(
-                *[
-                    _near(number, value, width, most)
-                    for number, (width, value) in enumerate(zip(BLOCK_WIDTHS, _blocks(F.col("print"))))
-                ]
-            )
-        ).alias("at"),
-    ).select("item_id", "size", "item_print", "at.*")
-    keys = F.array(*[F.struct(F.lit(n).alias("block"), v.alias("value")) for n, v in enumerate(_blocks(F.col("print")))])
+    index = items.select("item_id", "size", "print", F.explode(F.array_distinct("shingles")).alias("h"))
+    index = index.select("item_id", "size", "h", F.col("print").alias("item_print"), F.inline(_blocks(F.col("print"), radius)))
     key = ["doc_id", "text_key", "start", "size"]
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     pairs = (
-        windows.select(*key, "print", F.explode(keys).alias("at"))
-        .select(*key, "print", "at.*")
-        .join(staging.table(index, "index"), ["size", "block", "value"])
+        windows.select(*key, "print", F.col("shingles")[0].alias("h"), F.inline(_blocks(F.col("print"), radius)))
+        .join(staging.table(index, "index"), ["size", "h", "block", "value"])
         .filter(distance <= radius)
         .select(*key, "item_id", distance.alias("hamming"))
         .dropDuplicates()
@@ -207,7 +178,11 @@ def find(
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without those that contain an item, with their own columns."""
-    hits = find(docs, items, doc_id, text, **options).select(F.col("doc_id").alias("_hit"), F.col("text_key").alias("_hit_key")).distinct()
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_hit")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_hit_key"))
+    """``docs`` without those that contain an item, with their own columns, whatever their names."""
+    hit, key = free_name(docs.columns, "hit"), free_name(docs.columns, "hit_key")
+    staging = staging_for(docs, options.pop("staging", None))
+    found = find(docs, items, doc_id, text, staging=staging, **options)
+    # Written, so that its size is known: few hits are sent to the texts, not the texts to them.
+    hits = staging.table(found.select(F.col("doc_id").alias(hit), F.col("text_key").alias(key)).distinct(), "hits")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(hit)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(key))
     return docs.join(hits, same, "left_anti")
