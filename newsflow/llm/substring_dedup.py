@@ -52,7 +52,8 @@ from newsflow.operators.staging import Staging, staging_for
 
 # Text bytes for which one bucket of symbols or windows is planned, and one of whole blocks.
 BUCKET_BYTES = 16 << 20
-HOME_BYTES = 64 << 20
+HOME_BYTES = 32 << 20
+MOST_HOMES = 1 << 16  # of a table; Spark's own limit is 100,000
 # Rounds of the long symbols, which have about 4/3 as many words with each round.
 LONG_ROUNDS = 16
 _LOW_BITS = np.uint64(40)
@@ -216,12 +217,15 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> It
             yield home, number, block, (answers[i].as_py() or []) if answers is not None else []
 
 
-def _gathered(*answers: DataFrame) -> DataFrame:
-    """(home, answers): what all buckets answered to a home's blocks, some bits per word of them."""
+def _gathered(homes: int, *answers: DataFrame) -> DataFrame:
+    """(home, answers): what all buckets answered to a home's blocks, some bits per word of them.
+
+    Dealt out like the blocks, so that the join moves no block.
+    """
     rows = answers[0]
     for part in answers[1:]:
         rows = rows.unionByName(part)
-    return rows.groupBy("home").agg(F.collect_list(F.struct("block", "kind", "bucket", "data")).alias("answers")).hint("shuffle_hash")
+    return rows.repartition(homes, "home").groupBy("home").agg(F.collect_list(F.struct("block", "kind", "bucket", "data")).alias("answers")).hint("shuffle_hash")
 
 
 def remove_repeats(
@@ -242,7 +246,8 @@ def remove_repeats(
     buckets = max(8, -(-total // bucket_bytes))
     # Written in buckets of homes: what joins them later moves to them.
     name = f"newsflow_blocks_{uuid.uuid4().hex}"
-    into_blocks(docs, "id", "text").write.bucketBy(max(8, -(-total // HOME_BYTES)), "home").option("path", f"{staging.root}/{name}").saveAsTable(name)
+    homes = min(MOST_HOMES, max(8, -(-total // HOME_BYTES)))
+    into_blocks(docs, "id", "text").write.bucketBy(homes, "home").option("path", f"{staging.root}/{name}").saveAsTable(name)
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # only the name; the files belong to the staging folder
 
@@ -283,8 +288,8 @@ def remove_repeats(
             )
 
     shared = staging.table(blocks.mapInArrow(symbols, _SENT).groupBy("kind", "bucket").applyInArrow(_answer, _SENT), "symbols")
-    asked = blocks.join(_gathered(shared), "home", "left").mapInArrow(windows, _SENT)
+    asked = blocks.join(_gathered(homes, shared), "home", "left").mapInArrow(windows, _SENT)
     later = staging.table(asked.groupBy("kind", "bucket").applyInArrow(_answer, _SENT), "windows")
-    return blocks.join(_gathered(shared, later), "home", "left").mapInArrow(
+    return blocks.join(_gathered(homes, shared, later), "home", "left").mapInArrow(
         cut, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_text string"
     )
