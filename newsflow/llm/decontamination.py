@@ -34,6 +34,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # Two sets of similarity 0.8 differ in some 10 of 64 bits; 20 is more than three deviations above.
 RADIUS = 20
+# Positions of shared shingles, some 24 bytes each, that are sent to the texts rather than the texts to them.
+MOST_SENT = 1_000_000
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -127,6 +129,9 @@ def find(
             .agg(F.collect_set(F.struct("start", "size")).alias("spots"))
         )
         spots = staging.table(spots, f"spots{width}")
+        # One plan; a side of known size need not wait for the optimizer's estimate.
+        if (spots.agg(F.sum(F.size("spots"))).first()[0] or 0) <= MOST_SENT:
+            spots = F.broadcast(spots)
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
         cut = F.slice(F.col("hashes"), F.col("start") + 1, F.col("size") - (width - 1)).alias("shingles")
         found = (

@@ -187,7 +187,10 @@ def test_jaccard_join_without_ids(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute_components(data, 5, 80)
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_decontamination(spark, docs, empty, monkeypatch, sent):
+    """The same, whichever side of the join travels."""
+    monkeypatch.setattr(decontamination, "MOST_SENT", sent)
     item = rows()[10][1]
     items = spark.createDataFrame([(1, item), (2, prose(30, 99)), (3, None), (4, ""), (5, "two words")], "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontamination.find(docs, items).collect()}
