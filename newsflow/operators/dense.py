@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, functions as F
 from newsflow.operators.staging import Staging
 
 TILE_ROWS = 2048
-MAX_PIVOTS = 1024
-# Pivots are sent with the tasks; their number shrinks for long vectors so that
-# they never exceed this many bytes.
-MAX_PIVOT_BYTES = 32 << 20
-ROUTED_ROWS = 4096
+# Parts that a cell is divided into at a time, and how often: cell numbers fit 64 bits.
+FAN = 256
+DEPTH = 7
+# Rows of a cell that one task compares with the centres of its parts.
+DEALT_TILES = 4
 ROUNDING = 1e-6
+_UNIT = 1 << 30
 
 
 def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -34,53 +35,70 @@ def _angles(dots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(dots, -1.0, 1.0))
 
 
-def _choose_pivots(vectors: DataFrame, rows: int):
-    """A fixed pseudo-random choice of rows, at most MAX_PIVOTS, in seq order."""
-    dim = vectors.select(F.max(F.size("vec"))).first()[0] or 1
-    limit = max(1, min(MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * dim), math.ceil(math.sqrt(rows))))
-    chosen = vectors.select("seq", "vec").orderBy(F.xxhash64("seq"), "seq").limit(limit).collect()
-    chosen.sort(key=lambda r: r["seq"])
-    unit, usable = _unit([r["vec"] for r in chosen])
-    seqs = np.array([r["seq"] for r in chosen])
-    return seqs[usable], unit[usable]
-
-
-def _assign(seqs, pivots, cells: int, threshold: float):
-    """Per row: its cell, the angle to the cell's pivot, and the earliest matching pivot."""
-
-    def assign(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            unit, usable = _unit(batch["vec"])
-            dots = unit @ pivots.T
-            own = batch["seq"].to_numpy()
-            near = (1.0 - dots < threshold) & (seqs[None, :] < own[:, None])
-            match = np.where(near, seqs[None, :], np.iinfo(np.int64).max).min(axis=1)
-            angles = _angles(dots[:, :cells])
-            cell = angles.argmin(axis=1)
-            out = batch.assign(
-                cell=cell, angle=angles[np.arange(len(batch)), cell], bound=pd.array(match, dtype="Int64")
-            )
-            out.loc[~near.any(axis=1), "bound"] = pd.NA
-            yield out[usable]
+def _usable(vec):
+    return F.exists(vec, lambda x: x != 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def _centres(placed: DataFrame, wide: DataFrame, level: int, tile_rows: int, fan: int) -> DataFrame:
+    """(cell, seqs, vecs): of each wide cell some rows, chosen by a hash, about one per tile and at most ``fan``."""
+    wanted = F.least(F.ceil(F.col("rows") / tile_rows), F.lit(fan)) + 8
+    chance = F.pmod(F.xxhash64(F.lit(level), "seq"), F.lit(_UNIT)) / _UNIT
+    chosen = placed.select("cell", "seq", "vec").join(wide, "cell").filter(chance < wanted / F.col("rows"))
+    chosen = chosen.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", "vec"))), 1, fan).alias("centre"))
+    return chosen.select("cell", F.col("centre.seq").alias("seqs"), F.col("centre.vec").alias("vecs"))
+
+
+def _dealt(rows: DataFrame, centres: DataFrame, counts: DataFrame, size: int):
+    """The rows of a cell in parts of about ``size``, each with the cell's centres."""
+    parts = counts.select("cell", F.ceil(F.col("rows") / size).alias("parts"))
+    left = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts"))).drop("parts")
+    right = centres.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
+
+
+def _assign(threshold: float, fan: int):
+    """Per row: its part of the cell, the angle to the part's centre, and the earliest matching centre so far."""
+
+    def assign(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        rows, own = rows.drop(columns="part"), rows["seq"].to_numpy()
+        if rows.empty or centres.empty:
+            return rows.assign(parent=pd.array([pd.NA] * len(rows), "Int64"))
+        seqs = np.asarray(centres["seqs"].iloc[0], np.int64)
+        dots = _unit(rows["vec"])[0] @ _unit(centres["vecs"].iloc[0])[0].T
+        near = (1.0 - dots < threshold) & (seqs[None, :] < own[:, None])
+        bound = rows["bound"].to_numpy()
+        match = np.minimum(np.where(near, seqs[None, :], bound[:, None]).min(axis=1), bound)
+        angles = _angles(dots)
+        part = angles.argmin(axis=1)
+        return rows.assign(
+            parent=rows["cell"].astype("Int64"),
+            cell=rows["cell"] * fan + 1 + part,
+            angle=angles[np.arange(len(rows)), part],
+            bound=match,
+        )
 
     return assign
 
 
-def _route(pivots, radius, reach: float):
-    """Per asking row: the cells that can hold a row within ``reach`` of it."""
+def _route(reach: float, fan: int):
+    """Per asking row: the parts of the cell that can hold a row within ``reach`` of it.
 
-    def route(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            unit, _ = _unit(batch["vec"])
-            possible = _angles(unit @ pivots.T) <= (reach + radius + ROUNDING)[None, :]
-            row, cell = np.nonzero(possible)
-            for start in range(0, len(row), ROUTED_ROWS):
-                part = slice(start, start + ROUTED_ROWS)
-                yield batch.iloc[row[part]].assign(cell=cell[part])[["cell", "seq", "bound", "vec"]]
+    A part holds angles low to high around its centre, and all its rows are
+    nearer to that centre than to any other: both bound where a match may be.
+    """
+
+    def route(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or centres.empty:
+            return rows[["cell", "seq"]]
+        centre = centres.iloc[0]
+        part = np.asarray(centre["cells"], np.int64) - rows["cell"].iloc[0] * fan - 1
+        low, high = (np.asarray(centre[name], np.float64) for name in ("lows", "highs"))
+        every = _angles(_unit(rows["vec"])[0] @ _unit(centre["vecs"])[0].T)
+        angles = every[:, part]
+        possible = (angles <= reach + high + ROUNDING) & (angles >= low - reach - ROUNDING)
+        possible &= angles <= every.min(axis=1)[:, None] + 2 * reach + ROUNDING
+        row, at = np.nonzero(possible)
+        return pd.DataFrame({"cell": np.asarray(centre["cells"], np.int64)[at], "seq": rows["seq"].to_numpy()[row]})
 
     return route
 
@@ -91,9 +109,8 @@ def _compare(threshold: float):
             return pd.DataFrame({"seq": np.array([], np.int64), "match_seq": np.array([], np.int64)})
         q, _ = _unit(queries["vec"])
         c, _ = _unit(stored["vec"])
-        before = queries["bound"].fillna(queries["seq"]).to_numpy(dtype=np.int64)
         own, c_seq = queries["seq"].to_numpy(), stored["seq"].to_numpy()
-        near = (1.0 - q @ c.T < threshold) & (c_seq[None, :] < np.minimum(before, own)[:, None])
+        near = (1.0 - q @ c.T < threshold) & (c_seq[None, :] < queries["bound"].to_numpy()[:, None])
         match = np.where(near, c_seq[None, :], np.iinfo(np.int64).max).min(axis=1)
         hit = near.any(axis=1)
         return pd.DataFrame({"seq": own[hit], "match_seq": match[hit]})
@@ -101,18 +118,21 @@ def _compare(threshold: float):
     return compare
 
 
-def _compare_in_tiles(queries: DataFrame, stored: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
-    """Earliest match of each query among the stored rows of its cells.
+def _compare_in_tiles(
+    queries: DataFrame, stored: DataFrame, threshold: float, tile_rows: int, staging: Staging, vectors: DataFrame | None = None
+) -> DataFrame:
+    """Earliest match of each query (cell, seq, bound, vec) among the stored rows of its cells.
 
-    The number of cells is bounded by the caller, so the table of their sizes
-    is small enough to broadcast. A cell with more than ``tile_rows`` rows on
-    either side is cut into tiles; each pair of tiles is one group.
+    A cell with more than ``tile_rows`` rows on either side is cut into tiles;
+    each pair of tiles is one group. The table of tiles is written, so that its
+    size decides how it meets the rows. With ``vectors`` (seq, vec) the queries
+    have none of their own and get them last.
     """
 
     def sizes(frame, name):
         return frame.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias(name))
 
-    tiles = F.broadcast(sizes(queries, "q_tiles").join(sizes(stored, "c_tiles"), "cell"))
+    tiles = staging.table(sizes(queries, "q_tiles").join(sizes(stored, "c_tiles"), "cell"), "tiles")
 
     def spread(frame, own, other):
         # New aliases, because both sides may come from one table.
@@ -125,50 +145,72 @@ def _compare_in_tiles(queries: DataFrame, stored: DataFrame, threshold: float, t
         )
 
     keys = ["cell", "q_tile", "c_tile"]
-    left = spread(queries.select("cell", "seq", "bound", "vec"), "q", "c").groupBy(*keys)
+    asked = spread(queries, "q", "c")
+    left = (asked if vectors is None else asked.join(vectors, "seq")).groupBy(*keys)
     right = spread(stored.select("cell", "seq", "vec"), "c", "q").groupBy(*keys)
     found = left.cogroup(right).applyInPandas(_compare(threshold), "seq bigint, match_seq bigint")
     return found.groupBy("seq").agg(F.min("match_seq").alias("match_seq"))
 
 
+def tree(
+    vectors: DataFrame, threshold: float, first_match: bool, staging: Staging, tile_rows: int = TILE_ROWS, fan: int = FAN
+) -> tuple[DataFrame, DataFrame]:
+    """(placed, asked): each row (cell, seq, vec, query, bound) in a leaf, and the leaves (cell, seq) each row must ask.
+
+    A cell of more than a tile is divided around centres of its own, again and
+    again, so the number of leaves grows with the rows and none holds much more
+    than a tile, unless its rows all match each other. Only ids are
+    routed; ``bound`` is the earliest centre that matches, or the row itself. Centres meet the rows
+    of their own cell only, so no task and no broadcast sees all of them.
+    """
+    columns = "cell bigint, seq bigint, vec array<float>, query boolean, bound bigint, parent bigint, angle double"
+    usable = vectors.filter(_usable(F.col("vec"))).select(
+        F.lit(0).cast("bigint").alias("cell"), "seq", F.col("vec").cast("array<float>").alias("vec"), "query", F.col("seq").cast("bigint").alias("bound"), F.lit(None).cast("double").alias("angle")
+    )
+    placed = staging.table(usable, "placed")
+    asked = placed.filter("query").select("cell", "seq")
+    reach = math.acos(max(-1.0, 1.0 - threshold))
+    for level in range(DEPTH):
+        counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius"))
+        # Rows that all match each other need not be told apart.
+        counts = counts.filter((F.col("rows") > tile_rows) & (F.coalesce("radius", F.lit(math.pi)) > reach / 2))
+        wide = staging.table(counts.select("cell", "rows"), "wide")
+        if wide.isEmpty():
+            break
+        centres = staging.table(_centres(placed, wide, level, tile_rows, fan), "centres")
+        names = wide.select("cell")
+        moved = _dealt(placed, centres, wide, DEALT_TILES * tile_rows).applyInPandas(_assign(threshold, fan), columns)
+        rest = placed.join(names, "cell", "left_anti").withColumn("parent", F.lit(None).cast("bigint"))
+        placed = staging.table(moved.unionByName(rest), "placed")
+        part = placed.filter("parent is not null").groupBy("parent", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+        part = part.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("cell", "low", "high"))).alias("p"))
+        part = part.select(F.col("parent").alias("cell"), F.col("p.cell").alias("cells"), F.col("p.low").alias("lows"), F.col("p.high").alias("highs"))
+        shapes = staging.table(centres.join(part, "cell"), "shapes")
+        # Flags need no second match.
+        open_rows = placed.filter("query") if first_match else placed.filter("query and bound = seq")
+        asked = asked.join(open_rows.select("seq"), "seq", "left_semi")
+        going = staging.table(asked.join(names, "cell", "left_semi"), "going")
+        asks = going.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+        going = going.join(open_rows.select("seq", "vec"), "seq")
+        routed = _dealt(going, shapes, asks, DEALT_TILES * tile_rows).applyInPandas(_route(reach, fan), "cell bigint, seq bigint")
+        asked = staging.table(routed.unionByName(asked.join(names, "cell", "left_anti").select("cell", "seq")), "asked")
+        placed = placed.drop("parent")
+    return placed, asked
+
+
 def dense_matches(
-    vectors: DataFrame, threshold: float, first_match: bool, staging: Staging, tile_rows: int = TILE_ROWS
+    vectors: DataFrame, threshold: float, first_match: bool, staging: Staging, tile_rows: int = TILE_ROWS, fan: int = FAN
 ) -> DataFrame:
     """(seq, match_seq) for distinct dense vectors (seq, query, vec); exact.
 
-    Rows belong to the cell of their nearest pivot. A row can only match rows
-    of a cell whose pivot is within (threshold angle + cell radius) of it; all
-    other cells are skipped.
+    A row can only match rows of a cell whose centre is within (threshold angle
+    + cell radius) of it; all other cells are skipped.
     """
-    empty = vectors.sparkSession.createDataFrame([], "seq bigint, match_seq bigint")
-    rows = vectors.count()
-    if rows == 0:
-        return empty
-    seqs, pivots = _choose_pivots(vectors, rows)
-    if not len(seqs):
-        return empty
-    cells = max(1, min(len(seqs), math.ceil(rows / tile_rows)))
-    placed = staging.table(
-        vectors.mapInPandas(
-            _assign(seqs, pivots, cells, threshold),
-            "seq bigint, vec array<float>, query boolean, cell int, angle double, bound bigint",
-        ),
-        "placed",
-    )
-    radius = np.full(cells, -np.inf)
-    for row in placed.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
-        radius[row["cell"]] = row["radius"]
-
-    settled = placed.filter("query and bound is not null").select("seq", F.col("bound").alias("match_seq"))
-    asking = placed.filter("query") if first_match else placed.filter("query and bound is null")
-    reach = math.acos(max(-1.0, 1.0 - threshold))
-    queries = staging.table(
-        asking.select("seq", "bound", "vec").mapInPandas(
-            _route(pivots[:cells], radius, reach), "cell int, seq bigint, bound bigint, vec array<float>"
-        ),
-        "queries",
-    )
-    found = _compare_in_tiles(queries, placed, threshold, tile_rows)
+    placed, asked = tree(vectors, threshold, first_match, staging, tile_rows, fan)
+    settled = placed.filter("query and bound < seq").select("seq", F.col("bound").alias("match_seq"))
+    open_rows = placed.filter("query") if first_match else placed.filter("query and bound = seq")
+    queries = asked.join(open_rows.select("seq", "bound"), "seq").select("cell", "seq", "bound")
+    found = _compare_in_tiles(queries, placed, threshold, tile_rows, staging, placed.select("seq", "vec"))
     return settled.unionByName(found).groupBy("seq").agg(F.min("match_seq").alias("match_seq"))
 
 
@@ -224,5 +266,5 @@ def approximate_matches(
         ),
         "signed",
     )
-    queries = signed.filter("query").withColumn("bound", F.lit(None).cast("bigint"))
-    return _compare_in_tiles(queries, signed.filter("own"), threshold, tile_rows)
+    queries = signed.filter("query").withColumn("bound", F.col("seq"))
+    return _compare_in_tiles(queries.drop("query", "own"), signed.filter("own"), threshold, tile_rows, staging)

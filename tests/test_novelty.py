@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsflow.functions.vectors import term_vector
 from newsflow.operators import dense, novelty, skew
 from newsflow.operators.novelty import flag_redundant, flag_redundant_approx, match_report
+from newsflow.operators.staging import Staging
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -148,7 +149,7 @@ def make_vectors(n=300, dim=8, seed=0):
 
 @pytest.mark.parametrize("threshold,stored", [(0.05, 0), (0.2, 100), (0.7, 0)])
 def test_dense_join_equals_brute_force(spark, monkeypatch, threshold, stored):
-    monkeypatch.setattr(dense.dense_matches, "__defaults__", (30,))
+    monkeypatch.setattr(dense.dense_matches, "__defaults__", (80, 4))
     rows = make_vectors()
     unit = {}
     for i, v in rows:
@@ -166,6 +167,20 @@ def test_dense_join_equals_brute_force(spark, monkeypatch, threshold, stored):
     assert approx <= flags and len(approx) >= 0.9 * len(flags)
 
 
+def test_dense_tree_routes_few_ids(spark):
+    """Leaves grow with the rows, and a row asks few of them at a distance of 0.2."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(60, 24))
+    vectors = centres[draw.integers(0, 60, 2400)] + 0.05 * draw.normal(size=(2400, 24))
+    rows = [(i, True, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "seq long, query boolean, vec array<float>")
+    placed, asked = dense.tree(frame, 0.2, True, Staging(spark), 100, 16)
+    cells = placed.select("cell").distinct().count()
+    assert cells >= 24 and placed.count() == 2400
+    assert asked.select("seq").distinct().count() == 2400
+    assert asked.count() < 0.25 * 2400 * cells
+
+
 def test_chain_and_strict_threshold(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.8, 0.59]), (3, [0.3, 0.95]), (4, [0.0, 0.0]), (5, [0.0, 0.0]), (6, None)]
     frame = spark.createDataFrame(rows, "seq long, embedding array<float>")
