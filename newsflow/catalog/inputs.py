@@ -140,10 +140,13 @@ def landed_json(spark: SparkSession, folder: str) -> str:
         )
     )
     pages = read_table(spark, folder, "pages").select("page_id", number.alias("snapshot"), record.alias("record"))
-    first = F.min("page_id").over(Window.partitionBy("snapshot")) == F.col("page_id")
-    lines = pages.select("snapshot", F.col("page_id").alias("pos"), F.concat(F.when(first, "[").otherwise(","), "record").alias("line"))
-    end = pages.select("snapshot").distinct().select("snapshot", F.lit((1 << 63) - 1).alias("pos"), F.lit("]").alias("line"))
-    lines = lines.unionByName(end).repartition("snapshot").sortWithinPartitions("snapshot", "pos")
+    # Brackets go to the first and the last row of a list. Rows of their own would come by a union, whose two
+    # sides Spark may cut into partitions differently: then a list lies in two files.
+    whole = Window.partitionBy("snapshot")
+    placed = pages.select("snapshot", "record", F.row_number().over(whole.orderBy("page_id")).alias("pos"), F.count(F.lit(1)).over(whole).alias("rows"))
+    opened = F.concat(F.when(F.col("pos") == 1, "[").otherwise(","), "record")
+    line = F.concat(opened, F.when(F.col("pos") == F.col("rows"), "]").otherwise(""))
+    lines = placed.select("snapshot", "pos", line.alias("line")).repartition("snapshot").sortWithinPartitions("snapshot", "pos")
     lines.select("snapshot", "line").write.partitionBy("snapshot").text(root)
     return f"{root}/*/*.txt"
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from newsflow.catalog import inputs
 from newsflow.functions.entities import ASSET_DICTIONARY
 from newsflow.functions.lexicon import CRYPTO_ASSETS
 from newsflow.operators import articles as article_ops
@@ -451,3 +452,21 @@ def test_detect_novelty_keeps_arrival_order(spark):
     frame = incoming(spark, NEWS[:1] * 2).withColumn("text", F.col("rss_summary"))
     got = detect_novelty(frame).orderBy("id").collect()
     assert [(r.feed_pos, r.is_redundant) for r in got] == [(0, False), (1, True)]
+
+
+def test_landed_lists_lie_in_one_file_each(spark, tmp_path):
+    """Also where the rows fill several partitions: a list is one file, closed, in the order of its pages."""
+    rows = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.example/"), "id").alias("url"), F.repeat(F.lit("x"), 60).alias("html"))
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    setting = "spark.sql.adaptive."
+    small = {f"{setting}advisoryPartitionSizeInBytes": "16k", f"{setting}coalescePartitions.minPartitionSize": "1k", f"{setting}coalescePartitions.parallelismFirst": "false"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        pattern = inputs.landed_json(spark, str(tmp_path))
+        assert read_snapshot(spark, pattern).count() == read_batch(spark, pattern).count() == 3000
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    files = [json.loads(r["value"]) for r in spark.read.text(pattern, wholetext=True).collect()]
+    assert sorted(tuple(x["feed_pos"] for x in f) for f in files) == [tuple(range(i, i + 50)) for i in range(0, 3000, 50)]
