@@ -21,6 +21,11 @@ DEPTH = 7
 DEALT_TILES = 4
 ROUNDING = 1e-6
 _UNIT = 1 << 30
+# Tiles of the earliest rows that every asking row meets first; rows left after that meet the
+# others directly while they fill no more than so many tiles.
+EARLY_TILES = 2
+# Rows that a worker signs or compares at a time.
+SLICE = 512
 
 
 def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +109,28 @@ def _route(reach: float, fan: int):
 
 
 def _compare(threshold: float):
+    """The earliest stored row within the threshold of each query; with signatures, of those that share a cell with it."""
+
     def compare(queries: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or stored.empty:
             return pd.DataFrame({"seq": np.array([], np.int64), "match_seq": np.array([], np.int64)})
-        q, _ = _unit(queries["vec"])
+        stored = stored.sort_values("seq", kind="stable")
         c, _ = _unit(stored["vec"])
-        own, c_seq = queries["seq"].to_numpy(), stored["seq"].to_numpy()
-        near = (1.0 - q @ c.T < threshold) & (c_seq[None, :] < queries["bound"].to_numpy()[:, None])
-        match = np.where(near, c_seq[None, :], np.iinfo(np.int64).max).min(axis=1)
-        hit = near.any(axis=1)
-        return pd.DataFrame({"seq": own[hit], "match_seq": match[hit]})
+        c_seq, c_own = stored["seq"].to_numpy(), np.stack(stored["own"]) if "own" in stored else None
+        seqs, matches = [], []
+        for at in range(0, len(queries), SLICE):
+            part = queries.iloc[at : at + SLICE]
+            near = (1.0 - _unit(part["vec"])[0] @ c.T < threshold) & (c_seq[None, :] < part["bound"].to_numpy()[:, None])
+            if c_own is not None:
+                visited = np.stack(part["visited"])
+                visited = visited.reshape(len(part), c_own.shape[1], -1)
+                for row in np.flatnonzero(near.any(axis=1)):
+                    met = np.flatnonzero(near[row])
+                    near[row, met] = (visited[row][None] == c_own[met][:, :, None]).any(axis=(1, 2))
+            hit = near.any(axis=1)
+            seqs.append(part["seq"].to_numpy()[hit])
+            matches.append(c_seq[near.argmax(axis=1)[hit]])
+        return pd.DataFrame({"seq": np.concatenate(seqs), "match_seq": np.concatenate(matches)})
 
     return compare
 
@@ -146,12 +163,35 @@ def _compare_in_tiles(
 
     keys = ["cell", "q_tile", "c_tile"]
     asked = spread(queries, "q", "c")
-    left = (asked if vectors is None else asked.join(vectors, "seq")).groupBy(*keys)
-    right = spread(stored.select("cell", "seq", "vec"), "c", "q").groupBy(*keys)
+    # As files, ids are many times smaller than in a broadcast: such joins are sorted, whatever the size of the files.
+    left = (asked if vectors is None else asked.hint("merge").join(vectors, "seq")).groupBy(*keys)
+    right = spread(stored.drop("query", "bound"), "c", "q").groupBy(*keys)
     found = left.cogroup(right).applyInPandas(_compare(threshold), "seq bigint, match_seq bigint")
     return found.groupBy("seq").agg(F.min("match_seq").alias("match_seq"))
 
 
+def _after_earliest(rows: DataFrame, threshold: float, tile_rows: int, staging: Staging) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(settled, open, later, number of open rows): asking rows against the earliest ones, and what that leaves.
+
+    No row outside is earlier than the earliest ones, so a match among them is
+    the earliest there is, and an asking row among them without a match has
+    none. ``open`` are the other asking rows without a match, ``later`` all rows
+    that they have not met. Where rows within the threshold are not rare, few
+    rows stay open, and the rest costs little more than reading it.
+    """
+    total = rows.count()
+    share = min(1.0, EARLY_TILES * tile_rows / max(1, total))
+    last = rows.agg(F.percentile_approx("seq", share, 100_000)).first()[0]
+    one = rows.withColumn("cell", F.lit(0).cast("bigint"))
+    asking = one.filter("query").withColumn("bound", F.col("seq"))
+    first = one if last is None else one.filter(F.col("seq") <= last)
+    settled = staging.table(_compare_in_tiles(asking, first, threshold, tile_rows, staging), "early")
+    later = one if last is None else one.filter(F.col("seq") > last)
+    left = later.filter("query").withColumn("bound", F.col("seq")).hint("merge").join(settled.select("seq"), "seq", "left_anti")
+    left = staging.table(left, "open")
+    return settled, left, later, left.count()
+
+
 def tree(
     vectors: DataFrame, threshold: float, first_match: bool, staging: Staging, tile_rows: int = TILE_ROWS, fan: int = FAN
 ) -> tuple[DataFrame, DataFrame]:
@@ -188,10 +228,10 @@ def tree(
         shapes = staging.table(centres.join(part, "cell"), "shapes")
         # Flags need no second match.
         open_rows = placed.filter("query") if first_match else placed.filter("query and bound = seq")
-        asked = asked.join(open_rows.select("seq"), "seq", "left_semi")
+        asked = asked.hint("merge").join(open_rows.select("seq"), "seq", "left_semi")
         going = staging.table(asked.join(names, "cell", "left_semi"), "going")
         asks = going.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-        going = going.join(open_rows.select("seq", "vec"), "seq")
+        going = going.hint("merge").join(open_rows.select("seq", "vec"), "seq")
         routed = _dealt(going, shapes, asks, DEALT_TILES * tile_rows).applyInPandas(_route(reach, fan), "cell bigint, seq bigint")
         asked = staging.table(routed.unionByName(asked.join(names, "cell", "left_anti").select("cell", "seq")), "asked")
         placed = placed.drop("parent")
@@ -203,42 +243,50 @@ def dense_matches(
 ) -> DataFrame:
     """(seq, match_seq) for distinct dense vectors (seq, query, vec); exact.
 
-    A row can only match rows of a cell whose centre is within (threshold angle
-    + cell radius) of it; all other cells are skipped.
+    Rows meet the earliest ones first. Those left meet the others in tiles if
+    they are few, else in a tree: a row can only match rows of a cell whose
+    centre is within (threshold angle + cell radius) of it; all other cells are
+    skipped.
     """
-    placed, asked = tree(vectors, threshold, first_match, staging, tile_rows, fan)
-    settled = placed.filter("query and bound < seq").select("seq", F.col("bound").alias("match_seq"))
+    usable = vectors.filter(_usable(F.col("vec"))).select("seq", F.col("vec").cast("array<float>").alias("vec"), "query")
+    rows = staging.table(usable, "usable")
+    settled, left, later, count = _after_earliest(rows, threshold, tile_rows, staging)
+    if not count:
+        return settled
+    if count <= EARLY_TILES * tile_rows:
+        return settled.unionByName(_compare_in_tiles(left, later, threshold, tile_rows, staging))
+    asks = left.select("seq", F.lit(True).alias("open"))
+    later = later.select("seq", "vec").hint("merge").join(asks, "seq", "left").select("seq", "vec", F.col("open").isNotNull().alias("query"))
+    placed, asked = tree(later, threshold, first_match, staging, tile_rows, fan)
+    centred = placed.filter("query and bound < seq").select("seq", F.col("bound").alias("match_seq"))
     open_rows = placed.filter("query") if first_match else placed.filter("query and bound = seq")
-    queries = asked.join(open_rows.select("seq", "bound"), "seq").select("cell", "seq", "bound")
-    found = _compare_in_tiles(queries, placed, threshold, tile_rows, staging, placed.select("seq", "vec"))
-    return settled.unionByName(found).groupBy("seq").agg(F.min("match_seq").alias("match_seq"))
+    queries = asked.hint("merge").join(open_rows.select("seq", "bound"), "seq").select("cell", "seq", "bound")
+    stored = placed.select("cell", "seq", "vec")
+    found = _compare_in_tiles(queries, stored, threshold, tile_rows, staging, placed.select("seq", "vec"))
+    return settled.unionByName(centred.unionByName(found).groupBy("seq").agg(F.min("match_seq").alias("match_seq")))
 
 
 def _signatures(planes: np.ndarray, tables: int, bits: int, probes: int):
-    """Per row and table: the side of ``bits`` random planes, as a cell number.
+    """Per row and table: the side of ``bits`` random planes, as a cell number (``own``, one per table).
 
     An asking row also visits the cells beyond the ``probes`` planes it lies
-    nearest to, one at a time: a near row on another side is most likely there.
+    nearest to, one at a time: a near row on another side is most likely there
+    (``visited``, per table its own cell and these).
     """
     powers = 1 << np.arange(bits)
 
     def sign(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            unit, usable = _unit(batch["vec"])
-            batch, unit = batch[usable], unit[usable]
-            margins = (unit @ planes.T).reshape(len(batch), tables, bits)
-            own = ((margins > 0) * powers).sum(axis=2)
-            nearest = np.abs(margins).argsort(axis=2)[:, :, :probes]
-            cells = np.concatenate([own[:, :, None], own[:, :, None] ^ powers[nearest]], axis=2)
-            cells += (np.arange(tables) << bits)[None, :, None]
-            asking = batch["query"].to_numpy(dtype=bool)
-            visited = np.ones(cells.shape, bool)
-            visited[~asking, :, 1:] = False
-            row, table, probe = np.nonzero(visited)
-            out = batch.iloc[row]
-            yield out.assign(cell=cells[row, table, probe], own=probe == 0)[["cell", "seq", "query", "own", "vec"]]
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                batch = whole.iloc[at : at + SLICE]
+                unit, usable = _unit(batch["vec"])
+                batch, unit = batch[usable], unit[usable]
+                margins = (unit @ planes.T).reshape(len(batch), tables, bits)
+                own = ((margins > 0) * powers).sum(axis=2)
+                nearest = np.abs(margins).argsort(axis=2)[:, :, :probes]
+                cells = np.concatenate([own[:, :, None], own[:, :, None] ^ powers[nearest]], axis=2)
+                cells += (np.arange(tables) << bits)[None, :, None]
+                yield batch.assign(own=list(cells[:, :, 0]), visited=list(cells.reshape(len(batch), -1)))
 
     return sign
 
@@ -253,7 +301,11 @@ def approximate_matches(
     probes: int = 2,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """(seq, match_seq) among rows that share a cell in at least one table, or lie in a cell that the other visits."""
+    """(seq, match_seq) among rows that share a cell in at least one table, or lie in a cell that the other visits.
+
+    Rows meet the earliest ones first. What is left meets the others whole if it
+    is little, else cell by cell.
+    """
     if not 0 < bits <= 14 or not 0 < tables <= 64 or not 0 <= probes <= bits:
         raise ValueError("bits must be 1 to 14, tables 1 to 64, probes 0 to bits")
     dim = vectors.select(F.max(F.size("vec"))).first()[0]
@@ -261,10 +313,16 @@ def approximate_matches(
         return vectors.sparkSession.createDataFrame([], "seq bigint, match_seq bigint")
     planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
     signed = staging.table(
-        vectors.mapInPandas(
-            _signatures(planes, tables, bits, probes), "cell int, seq bigint, query boolean, own boolean, vec array<float>"
+        vectors.select("seq", "query", "vec").mapInPandas(
+            _signatures(planes, tables, bits, probes), "seq bigint, query boolean, vec array<float>, own array<int>, visited array<int>"
         ),
         "signed",
     )
-    queries = signed.filter("query").withColumn("bound", F.col("seq"))
-    return _compare_in_tiles(queries.drop("query", "own"), signed.filter("own"), threshold, tile_rows, staging)
+    settled, left, later, count = _after_earliest(signed, threshold, tile_rows, staging)
+    if not count:
+        return settled
+    if count <= EARLY_TILES * tile_rows:
+        return settled.unionByName(_compare_in_tiles(left, later, threshold, tile_rows, staging))
+    queries = left.select(F.explode(F.col("visited").cast("array<bigint>")).alias("cell"), "seq", "bound", "vec")
+    stored = later.select(F.explode(F.col("own").cast("array<bigint>")).alias("cell"), "seq", "vec")
+    return settled.unionByName(_compare_in_tiles(queries, stored, threshold, tile_rows, staging))
