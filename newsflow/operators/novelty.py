@@ -41,6 +41,8 @@ ROWS_PER_PIECE = 4096
 FIRST_ROUND = 16
 ROUND_GROWTH = 16
 POSTING_BUCKETS = 256
+# Ids of the rows of pairs, up to this many, are broadcast to the vectors; beyond it the vectors are shuffled whole.
+BROADCAST_IDS = 1 << 21
 
 
 def _rows(new, corpus, vector, staging):
@@ -189,6 +191,10 @@ def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> Da
 def _confirm(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Earliest candidate of each row that really is within the threshold."""
     vec = vectors.select("seq", "vec")
+    if 2 * pairs.count() <= BROADCAST_IDS:
+        # Only vectors of a pair are shuffled, not the table once per side and round.
+        ids = pairs.select("seq").union(pairs.select("cand")).distinct()
+        vec = vec.join(F.broadcast(ids), "seq", "left_semi")
     left = lookup(pairs, vec.withColumnRenamed("vec", "a"), "seq", spread_by="cand", how="inner")
     both = lookup(
         left,
@@ -263,6 +269,9 @@ def sparse_matches(
 
     # The row that begins most of a row's lists, by weight: one candidate each.
     led = asking.filter("first_seq < seq").groupBy("seq", "first_seq").agg(F.sum(F.expr("weight * first_weight")).alias("common"))
+    # Entries hold 1 - similarity ** 2 of a row's squared norm at least, and near copies share most of them. Who shares
+    # less with its leader shares it by accident; the rounds decide that by bounds, before any vector moves.
+    led = led.filter(F.col("common") >= (1.0 - similarity * similarity) / 4)
     best = F.max_by("first_seq", F.struct("common", -F.col("first_seq"))).alias("cand")
     leaders = staging.table(led.groupBy("seq").agg(best), "leaders")
     settled = staging.table(_confirm(leaders, vectors, threshold), "settled")
