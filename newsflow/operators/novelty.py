@@ -158,15 +158,10 @@ def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> Da
     terms = vectors.select("seq", "query", F.explode("vec").alias("t")).select(
         "seq", "query", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")
     )
-    # Terms no asking row holds cannot matter, nor can terms of a single row.
-    common = staging.table(
-        terms.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("query").alias("asked"))
-        .filter((F.col("rows") > 1) & F.col("asked"))
-        .drop("asked"),
-        "terms",
-    )
-    shared = lookup(terms, common, "term", spread_by="seq", how="inner", counts=common)
+    # Terms no asking row holds cannot matter, nor can terms of a single row. They are counted where they meet: the
+    # terms are shuffled once. A row holds a term once, so even one that all rows hold is a small part of them.
+    counted = terms.selectExpr("*", "count(1) over (partition by term) as rows", "max(query) over (partition by term) as asked")
+    shared = counted.filter("rows > 1 and asked").drop("asked")
     # One row's terms at a time: the window is as large as one text.
     ranked = shared.selectExpr(
         "term",

@@ -256,3 +256,13 @@ def test_approximate_ways_agree(spark, monkeypatch):
         found = flag_redundant_approx(frame, None, 0.3, tables=3, bits=5).filter("is_redundant").collect()
         ways.append({r["seq"] for r in found})
     assert ways[0] == ways[1] == ways[2] and len(ways[0]) > 50
+
+
+def test_only_vectors_of_pairs_are_shuffled(spark):
+    """A pair is confirmed with the vectors of its rows; the others are dropped where they lie."""
+    rows = [(i, f"a{i} b c d") for i in range(50)]
+    vectors = spark.createDataFrame(rows, "seq long, text string").select("seq", term_vector(F.col("text"), ngram=1).alias("vec"))
+    pairs = spark.createDataFrame([(3, 1), (3, 2), (9, 4)], "seq long, cand long")
+    found = novelty._confirm(pairs, vectors, 0.5)
+    assert {tuple(r) for r in found.collect()} == {(3, 1), (9, 4)}
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
