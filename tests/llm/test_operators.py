@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newsflow.llm import (
@@ -346,6 +347,49 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_fit_takes_every_line(spark):
+    """All plain lines train or calibrate, each in one of the two, and the threshold holds for all that calibrate."""
+    near = "licensed under the apache license version 2.0"
+    body = [f"{near} " + " ".join(f"w{i}x{k}" for k in range(9)) if i % 50 == 0 else f"the w{i} w{i % 97} sits w{i % 89}" for i in range(10000)]
+    docs = spark.createDataFrame([(n, "\n".join(body[n::20]) + "\n\nReleased under the MIT License.") for n in range(20)], "doc_id bigint, text string")
+    vocabulary = license_scan.grams_of_notices(spark)
+    lines = license_scan._lines(docs, "doc_id", "text", vocabulary).cache()
+    scanner = license_scan.fit(lines, vocabulary)
+    counts = {r.held: r["count"] for r in lines.filter("plain").groupBy("held").count().collect()}
+    assert lines.count() == 10020 and sum(counts.values()) == 10000
+    assert (scanner.trained, scanner.held) == (counts[False], counts[True]) and min(counts.values()) > 4500
+    scores = [r.probability for r in license_scan._best(scanner.model.transform(lines.filter("plain and held"))).collect()]
+    allowed = int(license_scan.FALSE_FINDS * len(scores))
+    expected = int(sorted(scores)[-allowed - 1] * license_scan.STEPS + 1) / license_scan.STEPS
+    assert scanner.threshold == max(0.5, min(0.9, expected))
+    # A line that does not train would leave the model as it is; all of one kind being gone must change it.
+    fewer = license_scan.fit(lines.filter("held or doc_id != 0"), vocabulary)
+    assert fewer.trained < scanner.trained and fewer.model.interceptVector != scanner.model.interceptVector
+    assert {(r.doc_id, r.family) for r in license_scan.scan(docs, scanner=scanner).filter("family = 'mit'").collect()} == {(n, "mit") for n in range(20)}
+
+
+def test_license_threshold_counts_all(spark):
+    rows = spark.range(100000).select((0.4 + 0.5 * F.col("id") / 100000).alias("probability"))
+    passed = rows.filter(F.col("probability") >= license_scan._threshold(rows, 100000)).count()
+    assert 100 - 2 * 100000 / license_scan.STEPS < passed <= 100
+    assert license_scan._threshold(rows.limit(0), 0) == 0.5 and license_scan._threshold(rows.select((F.col("probability") / 2).alias("probability")), 100000) == 0.5
+
+
+def test_license_features(spark):
+    """Grams of neighbouring words only, as those of all words that the templates have."""
+    vocabulary = license_scan.grams_of_notices(spark)
+    texts = ["Released under the MIT License", "x the mit y license under THE mit", "nothing here", "MIT mit"]
+    frame = spark.createDataFrame([(t,) for t in texts], "body string").withColumn("w", license_scan.words(F.col("body")))
+    for row in license_scan.described(frame, vocabulary).collect():
+        w = row.body.lower().split()
+        every = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+        own = [x for x in w if x in vocabulary]
+        found = {vocabulary[i] for i in row.features.indices if i < len(vocabulary)}
+        assert found == every & set(vocabulary) and sorted(row.known) == sorted(set(own))
+        assert row.features[len(vocabulary)] == pytest.approx(math.log1p(len(w) - len(own)))
+        assert row.plain == (2 * len(set(own)) < len(set(w)))
+
+
 def test_mixing(docs, empty):
     out, info, copies = mixing.mix(docs)
     taken = {}
