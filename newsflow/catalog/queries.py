@@ -254,14 +254,18 @@ def novelty_match(spark, folder):
     return flagged.filter("is_redundant").select("seq", "match_seq")
 
 
+def _document_rows(spark, folder):
+    return inputs.articles(spark, folder).select(F.col("doc_id").alias("seq"), "doc_id", "title", "full_body")
+
+
 def _document_vectors(spark, folder):
-    rows = inputs.articles(spark, folder).select(F.col("doc_id").alias("seq"), "doc_id", "title", "full_body")
-    return rows.withColumn("embedding", three_word_vector(F.col("full_body")))
+    return _document_rows(spark, folder).withColumn("embedding", three_word_vector(F.col("full_body")))
 
 
 @query
 def novelty_documents(spark, folder):
-    flagged = novelty.flag_redundant(_document_vectors(spark, folder), threshold=TEXT_DISTANCE)
+    vector = three_word_vector(F.col("full_body"))
+    flagged = novelty.flag_redundant(_document_rows(spark, folder), threshold=TEXT_DISTANCE, vector=vector)
     return flagged.select("doc_id", "is_redundant", "novelty_label")
 
 

@@ -59,6 +59,13 @@ class Staging:
                 files.delete(entry.getPath(), True)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def discard(self, name: str) -> None:
+        """Remove the job's tables of that name, which nothing reads any more."""
+        root, files = self._files()
+        for entry in files.listStatus(root):
+            if entry.getPath().getName().rpartition("-")[0] == name:
+                files.delete(entry.getPath(), True)
+
     def drop(self) -> None:
         path, files = self._files()
         files.delete(path, True)

@@ -266,3 +266,41 @@ def test_only_vectors_of_pairs_are_shuffled(spark):
     found = novelty._confirm(pairs, vectors, 0.5)
     assert {tuple(r) for r in found.collect()} == {(3, 1), (9, 4)}
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("first_match", [True, False])
+def test_vectors_are_not_written(spark, monkeypatch, first_match):
+    """Texts that share little leave a part of their terms on disk, once; before, all terms were written twice."""
+    rng = random.Random(8)
+    texts = [[f"u{rng.randrange(50_000)}" for _ in range(60)] for _ in range(300)]
+    texts += [[*t[:58], "other", "words"] for t in texts[:9]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "seq long, text string")
+    staged, table = [], Staging.table
+
+    def count(self, frame, name):
+        out = table(self, frame, name)
+        lists = [F.sum(F.size(f.name)) for f in out.schema.fields if f.dataType.typeName() == "array"]
+        staged.append(out.agg(*lists).first()[0] or 0 if lists else out.count() if "term" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(Staging, "table", count)
+    found = flag_redundant(rows, threshold=0.2, vector=term_vector(F.col("text")), first_match=first_match).filter("is_redundant")
+    got = found.collect()
+    assert {r["seq"] for r in got} == set(range(300, 309))
+    assert not first_match or all(r["match_seq"] == r["seq"] - 300 for r in got)
+    assert 0 < sum(staged) < 0.7 * sum(map(len, texts))
+
+
+def test_cut_vectors_keep_every_match(spark, monkeypatch):
+    """Texts of any length, with terms that nearly all hold: the entries of two near rows meet."""
+    monkeypatch.setattr(novelty, "SAMPLE", 4)
+    rng = random.Random(2)
+    texts = []
+    for i in range(160):
+        text = [f"often{k}" for k in range(rng.choice([0, 3, 12, 40]))] + [f"r{rng.randrange(90)}" for _ in range(rng.choice([1, 2, 5, 20]))]
+        texts.append(" ".join(text))
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").withColumn("embedding", term_vector(F.col("text")))
+    vectors = sparse_as_numpy([(r["seq"], r["embedding"]) for r in rows.collect()])
+    expected = brute_force(vectors, {i: True for i in vectors}, 0.2)
+    got = flag_redundant(rows, threshold=0.2, first_match=True).filter("is_redundant").collect()
+    assert {r["seq"]: r["match_seq"] for r in got} == expected and len(expected) > 40
