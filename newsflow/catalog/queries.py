@@ -271,8 +271,9 @@ def novelty_documents(spark, folder):
 
 @query
 def novelty_match_titles(spark, folder):
-    rows = _document_vectors(spark, folder)
-    flagged = novelty.flag_redundant(rows, threshold=TEXT_DISTANCE, first_match=True)
+    rows = _document_rows(spark, folder)
+    vector = three_word_vector(F.col("full_body"))
+    flagged = novelty.flag_redundant(rows, threshold=TEXT_DISTANCE, vector=vector, first_match=True)
     stored = rows.select("seq", F.col("doc_id").alias("id"), "title")
     return novelty.match_report(flagged, stored).withColumnRenamed("seq", "doc_id")
 
