@@ -20,14 +20,16 @@ through a cell join; both are exact. The steps they share:
 4. A pair of sparse rows shows its weights at their common rare terms before
    any vector moves; the norms of what these leave over bound the rest.
 
-Sparse vectors are several times as large as their texts, so they are never
-written or shuffled whole: a worker cuts each to the part that a match must
-touch, and vectors are asked for again only for the rows of possible pairs.
+Sparse vectors are several times as large as their texts. Without stored rows
+they are never written or shuffled whole: a worker cuts each to the part that a
+match must touch (``_prefixes``), and vectors are asked for again only for the
+rows of possible pairs. With stored rows, vectors are cut to shared terms and
+written, and their rare terms are ordered by exact counts (``_rare_first_lists``).
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from newsflow.functions.articles import novelty_label
 from newsflow.functions.vectors import sparse_dot
@@ -348,6 +350,45 @@ def _able(entries: DataFrame, similarity: float, staging: Staging) -> DataFrame:
     return entries.join(_small(staging.table(able.select("seq"), "able")), "seq", "left_semi")
 
 
+def _rare_first_lists(vectors: DataFrame, needed: float, staging: Staging) -> DataFrame:
+    """Inverted lists of the terms a match must share.
+
+    (term, seq, query, weight, rest, cut, rows, first_seq, first_weight): terms
+    are ordered by how many rows hold them, rarest first. ``rest`` is the
+    squared norm of a row's vector from that term on. If two rows reach the
+    similarity s, then at their first common term rest * rest >= s * s (``needed``),
+    because all of their dot product comes from there on. So a term whose
+    ``rest`` is below s * s needs no entry. ``cut`` is the squared norm of the
+    terms of a row without an entry.
+    """
+    terms = vectors.select("seq", "query", F.explode("vec").alias("t")).select(
+        "seq", "query", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")
+    )
+    # Terms no asking row holds cannot matter, nor can terms of a single row. They are counted where they meet: the
+    # terms are shuffled once. A row holds a term once, so even one that all rows hold is a small part of them.
+    counted = terms.selectExpr("*", "count(1) over (partition by term) as rows", "max(query) over (partition by term) as asked")
+    shared = counted.filter("rows > 1 and asked").drop("asked")
+    # One row's terms at a time: the window is as large as one text.
+    ranked = shared.selectExpr(
+        "term",
+        "seq",
+        "query",
+        "weight",
+        "sum(weight * weight) over (partition by seq order by rows desc, term desc "
+        "rows between unbounded preceding and current row) as rest",
+    )
+    left_over = F.max(F.when(F.col("rest") < needed, F.col("rest")).otherwise(0.0)).over(Window.partitionBy("seq"))
+    prefix = staging.table(ranked.withColumn("cut", left_over).filter(F.col("rest") >= needed), "prefix")
+    lists = prefix.groupBy("term").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("seq").alias("first_seq"),
+        F.min_by("weight", "seq").alias("first_weight"),
+        F.max("query").alias("asked"),
+    ).filter((F.col("rows") > 1) & F.col("asked"))
+    lists = staging.table(lists.drop("asked"), "lists")
+    return staging.table(lookup(prefix, lists, "term", spread_by="seq", how="inner", counts=lists), "live")
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """Rows of ids, to be broadcast if there are few."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
@@ -404,8 +445,11 @@ def _possible_pairs(asking: DataFrame, candidates: DataFrame, share: float, simi
     two rows' first entries, and so before the border: they add at most the norm
     of that row's terms without an entry times the norm of the other row's
     terms before the border. The greater of both products is a bound, whichever
-    row it is.
+    row it is. Lists without a border have a tighter one in the other row's
+    norm after the last common entry.
     """
+    bordered = "below" in asking.columns
+    carried = ["weight", "cut", "below"] if bordered else ["weight", "cut", "rest"]
     asked_pieces = F.ceil(F.col("rows") / rows_per_piece)
     given_pieces = F.ceil(F.col("rows") * share / rows_per_piece)
 
@@ -415,32 +459,45 @@ def _possible_pairs(asking: DataFrame, candidates: DataFrame, share: float, simi
             F.pmod(F.xxhash64("seq"), own_pieces).alias(own),
             F.explode(F.sequence(F.lit(0).cast("bigint"), other_pieces - 1)).alias(other),
             F.col("seq").alias(f"{prefix}_seq"),
-            *[F.col(c).alias(f"{prefix}_{c}") for c in ("weight", "cut", "below", *more)],
+            *[F.col(c).alias(f"{prefix}_{c}") for c in (*carried, *more)],
         )
 
     q = side(asking, "q", "q_piece", asked_pieces, "c_piece", given_pieces, "before")
     c = side(candidates, "c", "c_piece", given_pieces, "q_piece", asked_pieces)
     met = q.join(c, ["term", "q_piece", "c_piece"]).filter("c_seq < q_before")
-    pairs = met.groupBy("q_seq", "c_seq").agg(
-        F.sum(F.expr("abs(q_weight * c_weight)")).alias("common"),
-        F.max(_upward("greatest(q_cut * c_below, c_cut * q_below)")).alias("left"),
-    )
-    possible = F.col("common") + F.sqrt("left") >= similarity - SLACK
+    common = F.sum(F.expr("abs(q_weight * c_weight)")).alias("common")
+    if bordered:
+        pairs = met.groupBy("q_seq", "c_seq").agg(common, F.max(_upward("greatest(q_cut * c_below, c_cut * q_below)")).alias("left"))
+        possible = F.col("common") + F.sqrt("left") >= similarity - SLACK
+    else:
+        pairs = met.groupBy("q_seq", "c_seq").agg(
+            common,
+            F.max(F.expr("q_rest * c_rest")).alias("first"),
+            F.max("q_cut").alias("q_cut"),
+            F.max("c_cut").alias("c_cut"),
+            F.min(F.expr("c_rest - c_weight * c_weight")).alias("c_after"),
+            F.min(F.expr("q_rest - q_weight * q_weight")).alias("q_after"),
+        )
+        left = F.sqrt(F.greatest(F.expr("q_cut * c_after"), F.expr("c_cut * q_after"), F.lit(0.0)))
+        possible = (F.col("first") >= similarity * similarity - SLACK) & (F.col("common") + left >= similarity - SLACK)
     return pairs.filter(possible).select(F.col("q_seq").alias("seq"), F.col("c_seq").alias("cand"))
 
 
 def sparse_matches(
     vectors,
-    prefixes: DataFrame,
+    prefixes: DataFrame | None,
     threshold: float,
     first_match: bool,
     staging: Staging,
     rows_per_piece: int = ROWS_PER_PIECE,
     first_round: int = FIRST_ROUND,
 ) -> DataFrame:
-    """(seq, match_seq) for distinct sparse unit vectors: their ``prefixes``, and ``vectors`` as for ``_confirm``."""
+    """(seq, match_seq) for distinct sparse unit vectors: ``vectors`` as for ``_confirm``, with query if there are no ``prefixes``."""
     similarity = 1.0 - threshold
-    live = _lists(prefixes, similarity, staging)
+    if prefixes is None:
+        live = _rare_first_lists(vectors, similarity * similarity - SLACK, staging)
+    else:
+        live = _lists(prefixes, similarity, staging)
     asking = live.filter("query")
 
     # The row that begins most of a row's lists, by weight: one candidate each.
@@ -471,9 +528,11 @@ def sparse_matches(
                 open_rows = open_rows.filter(F.col("before") > low)
         else:
             open_rows = asking.join(_small(settled), "seq", "left_anti").withColumn("before", F.col("seq"))
-        open_rows = _able(open_rows.filter("first_seq < before"), similarity, staging)
-        if high is not None and (open_rows.agg(F.sum("rows")).first()[0] or 0) <= LAST_ROUND * entries:
-            share, high = 1.0, None
+        open_rows = open_rows.filter("first_seq < before")
+        if prefixes is not None:
+            open_rows = _able(open_rows, similarity, staging)
+            if (open_rows.agg(F.sum("rows")).first()[0] or 0) <= LAST_ROUND * entries:
+                share, high = 1.0, None
         given = live if low is None else live.filter(place >= low)
         given = given if high is None else given.filter(place < high)
         pairs = staging.table(_possible_pairs(open_rows, given, share, similarity, rows_per_piece), "pairs")
@@ -550,8 +609,7 @@ def flag_redundant(
     new_rows, stored = _rows(new, corpus, vector, staging)
     groups, vectors = _collapse(new_rows, stored, sparse, first_match, staging, postings)
     if sparse:
-        prefixes = _prefixes(vectors, 1.0 - threshold, staging)
-        matches = sparse_matches(vectors, prefixes, threshold, first_match, staging)
+        matches = sparse_matches(vectors, None, threshold, first_match, staging)
     else:
         matches = dense_matches(vectors, threshold, first_match, staging)
     return _flag(new, new_rows, groups, matches, first_match)
